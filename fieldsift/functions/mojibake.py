@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldsift.functions.text import alternation, contains_any, let
+from fieldsift.functions.text import contains_any, let, literal_list
 from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
 
 # The printable characters windows-1252 puts into 0x80-0x9F, and
@@ -31,19 +28,28 @@ def has_damage(text: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     return contains_any(text, _shortest_markers(vocab))
 
 
+def _occurrences(text: Column, literal: Column) -> Column:
+    removed = F.length(text) - F.length(F.replace(text, literal, F.lit("")))
+    return (removed / F.length(literal)).cast("int")
+
+
 def damage_score(text: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     """A5: occurrences of every marker, overlapping markers counted separately."""
-    return reduce(
-        add, [F.regexp_count(text, F.lit(alternation([m]))) for m in vocab.damage_markers]
+    return F.reduce(
+        literal_list(vocab.damage_markers),
+        F.lit(0),
+        lambda total, marker: total + _occurrences(text, marker),
     )
 
 
 def replace_broken(text: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     """Ordered literal replacement of known broken sequences."""
-    return reduce(
-        lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])),
-        vocab.broken_sequences,
+    return F.reduce(
+        literal_list(f"{broken}\t{fixed}" for broken, fixed in vocab.broken_sequences),
         text,
+        lambda acc, pair: F.replace(
+            acc, F.substring_index(pair, "\t", 1), F.substring_index(pair, "\t", -1)
+        ),
     )
 
 
@@ -52,6 +58,10 @@ def _decode_bytes(byte_text: Column) -> Column:
     return F.try_validate_utf8(F.encode(byte_text, "ISO-8859-1").cast("string"))
 
 
+# A byte from 0xC0 up opens a UTF-8 sequence, so an ASCII byte or the end cannot follow.
+_BROKEN_LEAD = r"[\x{c0}-\x{ff}](?:[\x00-\x7f]|\z)"
+
+
 def _as_cp1252_bytes(text: Column) -> Column:
     mapped = F.translate(text, CP1252_SPECIALS, CP1252_AS_LATIN1)
     # The five bytes without a character, and C1 controls in general, do not encode.
@@ -72,20 +82,19 @@ def redecode(text: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     before latin-1, and a text that cannot be read either way stays as it is.
     """
 
-    def better(candidate: Column) -> Column:
-        return let(
-            candidate,
-            lambda c: F.when(damage_score(c, vocab) < damage_score(text, vocab), c),
-        )
+    def first_better(score: Column) -> Column:
+        def better(candidate: Column) -> Column:
+            return let(candidate, lambda c: F.when(damage_score(c, vocab) < score, c))
 
-    return F.when(
-        has_damage(text, vocab),
-        F.coalesce(
+        return F.coalesce(
             better(_decode_bytes(_as_cp1252_bytes(text))),
             better(_decode_bytes(_as_latin1_bytes(text))),
             text,
-        ),
-    ).otherwise(text)
+        )
+
+    # Ordinary western text fails the lead-byte test at its first accented letter.
+    readable = has_damage(text, vocab) & ~F.rlike(text, F.lit(_BROKEN_LEAD))
+    return F.when(readable, let(damage_score(text, vocab), first_better)).otherwise(text)
 
 
 def repair(text: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:

@@ -1,7 +1,8 @@
 """Line predicates and scores.
 
-All functions take a line and its lower-case form, so a caller lowers each text
-once.  Word counts are bounded tests: only the first few words are ever read.
+Both scores are weighted sums over the same properties of a line, so the
+properties are computed once per line, as a struct, and the scores only add.
+Word counts are bounded tests: no more words are read than the weights need.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldsift.functions.text import LOWER, WORD, alternation, contains_any, has_word
+from fieldsift.functions.text import LOWER, WORD, alternation, contains_any, let
 from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
 
 NEXT_LINE_MIN_SCORE = 9
+NO_WORDS_SCORE = -20
 
 
 def is_product_code(line: Column) -> Column:
@@ -35,55 +37,98 @@ def is_candidate(low: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     )
 
 
-def _words_at_least(low: Column, n: int) -> Column:
-    return F.rlike(low, F.lit(rf"^(?:[^{WORD}]*+[{WORD}]++){{{n}}}"))
+def word_count_class(low: Column) -> Column:
+    """Number of words, counted up to five."""
+    words = F.regexp_extract(low, rf"^(?:[^{WORD}]*+[{WORD}]++){{0,5}}", 0)
+    return F.regexp_count(words, F.lit(rf"[{WORD}]++"))
 
 
-def _has_lower(line: Column) -> Column:
-    return F.rlike(line, F.lit(f"[{LOWER}]"))
-
-
-def _is_upper(line: Column) -> Column:
-    return ~F.rlike(line, F.lit(rf"[{LOWER}\p{{Lt}}]")) & F.rlike(
+def line_properties(line: Column, low: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
+    """What the scores look at, as one struct per line."""
+    has_lower = F.rlike(line, F.lit(f"[{LOWER}]"))
+    is_upper = ~F.rlike(line, F.lit(rf"[{LOWER}\p{{Lt}}]")) & F.rlike(
         line, F.lit(r"\p{IsUppercase}")
     )
+    return F.struct(
+        line.alias("line"),
+        low.alias("low"),
+        F.length(line).alias("chars"),
+        word_count_class(low).alias("words"),
+        is_product_code(line).alias("is_code"),
+        has_excluded_prefix(low, vocab).alias("has_prefix"),
+        has_lower.alias("has_lower"),
+        is_upper.alias("is_upper"),
+        contains_any(low, vocab.noise_phrases).alias("is_noise"),
+        contains_any(low, vocab.material_keywords).alias("has_keyword"),
+    )
+
+
+def candidate_row(row: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
+    """P3 on a properties struct."""
+    return ~row["has_prefix"] & ~row["low"].isin(*vocab.excluded_headers)
 
 
 def _weigh(*terms: tuple[Column, int]) -> Column:
     return reduce(add, [F.when(cond, F.lit(weight)).otherwise(F.lit(0)) for cond, weight in terms])
 
 
-def material_score(line: Column, low: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
-    """How much a line looks like a material type."""
+def _widened(known: Column, base: tuple[str, ...], full: tuple[str, ...], low: Column) -> Column:
+    """Does ``low`` hold a word of ``full``, given the answer for ``base``?"""
+    if not set(base) <= set(full):
+        return contains_any(low, full)
+    extra = [word for word in full if word not in base]
+    return (known | contains_any(low, extra)) if extra else known
+
+
+def material_row_score(row: Column) -> Column:
+    """T15 on a properties struct."""
     return _weigh(
-        (contains_any(low, vocab.noise_phrases), -12),
-        (is_product_code(line), -8),
-        (_is_upper(line) & ~_words_at_least(low, 4), -4),
-        (F.length(line) < 8, -3),
-        (_words_at_least(low, 3), 4),
-        (F.length(line) >= 20, 3),
-        (_has_lower(line), 2),
-        (contains_any(low, vocab.material_keywords), 5),
+        (row["is_noise"], -12),
+        (row["is_code"], -8),
+        (row["is_upper"] & (row["words"] <= 3), -4),
+        (row["chars"] < 8, -3),
+        (row["words"] >= 3, 4),
+        (row["chars"] >= 20, 3),
+        (row["has_lower"], 2),
+        (row["has_keyword"], 5),
     )
 
 
-def description_score(
-    line: Column,
-    low: Column,
-    material_low: Column,
-    vocab: Vocabulary = DEFAULT_VOCABULARY,
+def description_row_score(
+    row: Column, material_low: Column, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> Column:
-    """How much a line looks like a description of the material."""
+    """T16 on a properties struct."""
+    low = row["low"]
+    is_noise = _widened(row["is_noise"], vocab.noise_phrases, vocab.description_noise, low)
+    has_keyword = _widened(
+        row["has_keyword"], vocab.material_keywords, vocab.description_keywords, low
+    )
+    same_as_material = F.coalesce((material_low != "") & (low == material_low), F.lit(False))
     score = _weigh(
-        (contains_any(low, vocab.description_noise), -12),
-        (has_excluded_prefix(low, vocab), -10),
-        (is_product_code(line), -10),
-        (_is_upper(line) & ~_words_at_least(low, 5), -5),
-        ((material_low != "") & (low == material_low), -8),
-        (F.length(line) < 12, -4),
-        (_words_at_least(low, 5), 5),
-        (F.length(line) >= 35, 3),
-        (_has_lower(line), 2),
-        (contains_any(low, vocab.description_keywords), 6),
+        (is_noise, -12),
+        (row["has_prefix"], -10),
+        (row["is_code"], -10),
+        (row["is_upper"] & (row["words"] <= 4), -5),
+        (same_as_material, -8),
+        (row["chars"] < 12, -4),
+        (row["words"] >= 5, 5),
+        (row["chars"] >= 35, 3),
+        (row["has_lower"], 2),
+        (has_keyword, 6),
+    )
+    return F.when(row["words"] > 0, score).otherwise(F.lit(NO_WORDS_SCORE))
+
+
+def material_score(line: Column, low: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
+    """How much a single line looks like a material type."""
+    return let(line_properties(line, low, vocab), material_row_score)
+
+
+def description_score(
+    line: Column, low: Column, material_low: Column, vocab: Vocabulary = DEFAULT_VOCABULARY
+) -> Column:
+    """How much a single line looks like a description of the material."""
+    return let(
+        line_properties(line, low, vocab),
+        lambda row: description_row_score(row, material_low, vocab),
     )
-    return F.when(has_word(low), score).otherwise(F.lit(-20))

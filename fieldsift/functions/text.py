@@ -8,7 +8,7 @@ so the classes are spelled out once here and used everywhere.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,7 +19,8 @@ SPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-BREAK = r"\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+# Line breaks besides LF.
+OTHER_BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 INLINE_SPACE = r"\t\x1f\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
 LOWER = r"\p{IsLowercase}"
@@ -38,8 +39,9 @@ SPACE_CHARS = "".join(
     )
 )
 PUNCT_CHARS = " .;:-"
+# Up to this many literals are written out as an OR, longer lists are searched in a loop.
+SHORT_LIST = 4
 
-_BREAK_RUN = f"[{INLINE_SPACE}]*+[{BREAK}][{SPACE}]*+"
 # A run of whitespace that is not already one plain space.
 _LOOSE_SPACE = rf"\x20[{SPACE}]++|[\t-\r\x1c-\x1f\x{{85}}-\x{{3000}}&&[{SPACE}]][{SPACE}]*+"
 
@@ -53,9 +55,16 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def contains_any(text: Column, needles: Iterable[str]) -> Column:
+def literal_list(items: Iterable[str]) -> Column:
+    """Constant array of strings; one literal to build, folded by the optimizer."""
+    return F.split(F.lit("\n".join(items)), "\n")
+
+
+def contains_any(text: Column, needles: Sequence[str]) -> Column:
     """True when one of the literals occurs (byte search, no regex)."""
-    return any_of([F.contains(text, F.lit(n)) for n in needles])
+    if len(needles) <= SHORT_LIST:
+        return any_of([F.contains(text, F.lit(n)) for n in needles])
+    return F.exists(literal_list(needles), lambda needle: F.contains(text, needle))
 
 
 def alternation(literals: Iterable[str]) -> str:
@@ -90,13 +99,26 @@ def drop_invisible(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\ufeff"), F.lit("")), F.lit("\xa0"), F.lit(" "))
 
 
-def join_stripped_lines(text: Column) -> Column:
-    """T5, last part: stripped non-blank lines joined by LF.
+def plain_stripped_lines(text: Column) -> Column:
+    """Stripped non-blank lines of a text whose only line break is LF."""
+    return F.filter(F.transform(split_lines(text), strip), lambda line: line != "")
+
+
+def stripped_lines(text: Column) -> Column:
+    """Stripped non-blank lines, split at every kind of line break.
 
-    A whitespace run holding a line break is the border between two stripped,
-    non-blank lines, so one replacement does split, strip, drop and join.
+    Literal replacement, the one-character split and btrim are byte searches; a
+    regex over the Unicode whitespace classes costs several times as much.
     """
-    return F.regexp_replace(strip(text), _BREAK_RUN, "\n")
+    unified = F.reduce(
+        literal_list(OTHER_BREAKS), text, lambda acc, char: F.replace(acc, char, F.lit("\n"))
+    )
+    return plain_stripped_lines(unified)
+
+
+def join_stripped_lines(text: Column) -> Column:
+    """T5, last part: stripped non-blank lines joined by LF."""
+    return F.array_join(stripped_lines(text), "\n")
 
 
 def split_lines(normalized: Column) -> Column:

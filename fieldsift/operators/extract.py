@@ -34,22 +34,22 @@ from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
 RAW_TEXT_CHARS = 280
 
 
-def line_rows(normalized: Column, lowered: Column) -> Column:
-    """Meaningful lines as ``array<struct<line, low>>``, in document order."""
+def line_rows(normalized: Column, lowered: Column, vocab: Vocabulary) -> Column:
+    """Properties of the meaningful lines, in document order."""
     rows = F.zip_with(
         split_lines(normalized),
         split_lines(lowered),
-        lambda line, low: F.struct(line.alias("line"), low.alias("low")),
+        lambda line, low: F.when(has_word(line), scoring.line_properties(line, low, vocab)),
     )
-    return F.filter(rows, lambda row: has_word(row["line"]))
+    return F.array_compact(rows)
 
 
-def best_candidate(candidates: Column, vocab: Vocabulary) -> Column:
+def best_candidate(candidates: Column) -> Column:
     """Highest material score, the earlier line wins a tie."""
     scored = F.transform(
         candidates,
         lambda row, i: F.struct(
-            scoring.material_score(row["line"], row["low"], vocab).alias("score"),
+            scoring.material_row_score(row).alias("score"),
             (-i).alias("order"),
             row["line"].alias("line"),
         ),
@@ -64,9 +64,7 @@ def score_descriptions(rows: Column, material_type: Column, vocab: Vocabulary) -
         lambda material_low: F.transform(
             rows,
             lambda row, i: F.struct(
-                scoring.description_score(row["line"], row["low"], material_low, vocab).alias(
-                    "score"
-                ),
+                scoring.description_row_score(row, material_low, vocab).alias("score"),
                 (-i).alias("order"),
                 row["line"].alias("line"),
             ),
@@ -137,22 +135,20 @@ def extraction_steps(
     )
 
     rows = explicit.withColumns(
-        {"_rows": F.when(needs_material | needs_description, line_rows(raw, low))}
+        {"_rows": F.when(needs_material | needs_description, line_rows(raw, low, vocab))}
     )
     candidates = rows.withColumns(
         {
             "_candidates": F.when(
                 needs_material,
-                F.filter(F.col("_rows"), lambda row: scoring.is_candidate(row["low"], vocab)),
+                F.filter(F.col("_rows"), lambda row: scoring.candidate_row(row, vocab)),
             ),
             "_declared": F.when(needs_material, declaration_identifier(F.col("_rows"), vocab)),
         }
     )
     ranked = candidates.withColumns(
         {
-            "_best": F.when(
-                F.col("_declared").isNull(), best_candidate(F.col("_candidates"), vocab)
-            )
+            "_best": F.when(F.col("_declared").isNull(), best_candidate(F.col("_candidates")))
         }
     )
     material = ranked.withColumns(
