@@ -29,7 +29,7 @@ def attachments_text(attachments: Column) -> Column:
         attachments, lambda item, i: F.concat((i + 1).cast("string"), F.lit(". "), item)
     )
     return F.when(
-        F.size(attachments) > 0, F.array_join(numbered, "\n", "None")
+        F.size(attachments) > 0, F.array_join(numbered, "\n")
     ).otherwise(F.lit(ATTACHMENTS_PLACEHOLDER))
 
 

@@ -199,6 +199,5 @@ def diagnostics_text(events: Column, warnings: Column) -> Column:
 
 def explode_events(extracted: DataFrame, *keys: str) -> DataFrame:
     """C5, long form: one row per event with its position in the document."""
-    return extracted.select(*keys, F.posexplode("events").alias("event_no", "event")).select(
-        *keys, "event_no", "event.*"
-    )
+    rows = extracted.select(*keys, F.posexplode_outer("events").alias("event_no", "event"))
+    return rows.where(F.col("event").isNotNull()).select(*keys, "event_no", "event.*")

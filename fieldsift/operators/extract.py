@@ -27,6 +27,7 @@ from fieldsift.functions.text import (
     strip,
     strip_punct,
 )
+from fieldsift.operators.barrier import evaluate_once
 from fieldsift.operators.diagnostics import event_list, warning_list
 from fieldsift.operators.gate import DEFAULT_MIN_CHARS, text_gate
 from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
@@ -240,4 +241,4 @@ def extract_fields(
     ]
     if diagnostics:
         columns += [event_list().alias("events"), warning_list().alias("warnings")]
-    return steps.select(*columns)
+    return evaluate_once(steps.select(*columns), *keep, "source_path")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldsift import schemas
 from fieldsift.functions.paths import suffix
+from fieldsift.operators.barrier import evaluate_once
 
 # Messages of the validation rules.
 MISSING = "Field required"
@@ -123,7 +124,7 @@ def read_contexts(
     checked = parsed.withColumns({"_load_error": load_error})
     has_errors = F.size("_errors") > 0
     ok = F.col("_load_error").isNull() & ~has_errors
-    return checked.select(
+    rows = checked.select(
         F.col(path).alias("context_path"),
         F.when(F.col("_load_error").isNotNull(), schemas.CONTEXT_ERROR)
         .when(has_errors, schemas.INVALID_DATA)
@@ -134,6 +135,7 @@ def read_contexts(
         .alias("context_error"),
         F.when(ok, record_struct(record, schemas.CONTEXT_FIELDS)).alias("context"),
     )
+    return evaluate_once(rows, "context_path")
 
 
 def read_materials(
@@ -147,7 +149,7 @@ def read_materials(
         .when(~F.col("_is_object"), F.array(F.lit(NOT_OBJECT)))
         .otherwise(F.col("_errors"))
     )
-    return (
+    rows = (
         parsed.withColumns({"_problems": errors})
         .withColumns({"_ok": F.size("_problems") == 0})
         .select(
@@ -159,3 +161,4 @@ def read_materials(
             ),
         )
     )
+    return evaluate_once(rows, "path")
