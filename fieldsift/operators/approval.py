@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,22 +35,25 @@ def attachments_text(attachments: Column) -> Column:
     ).otherwise(F.lit(ATTACHMENTS_PLACEHOLDER))
 
 
-def approval_columns(context: Column, material: Column | None = None) -> list[Column]:
+@lru_cache(maxsize=16)
+def approval_columns(context: str = "context", material: str | None = None) -> tuple[Column, ...]:
     """The twelve render columns plus the structured attachments.
 
-    The material comes from a struct, or from the columns of an extraction.
+    ``context`` and ``material`` name struct columns; without ``material`` its fields
+    are the columns of an extraction.
     """
 
     def of(name: str) -> Column:
-        return F.col(name) if material is None else material[name]
+        return F.col(name) if material is None else F.col(f"{material}.{name}")
 
-    chosen = select_attachments(context["attachments"], of("attachments"))
-    values = {name: context[name] for name in schemas.CONTEXT_RENDER_FIELDS}
+    chosen = select_attachments(F.col(f"{context}.attachments"), of("attachments"))
+    values = {name: F.col(f"{context}.{name}") for name in schemas.CONTEXT_RENDER_FIELDS}
     values |= {name: of(name) for name in ("material_type", "description")}
     values["attachments_text"] = attachments_text(chosen)
-    return [values[name].alias(name) for name in schemas.RENDER_FIELDS] + [
-        chosen.alias("attachments")
-    ]
+    return (
+        *[values[name].alias(name) for name in schemas.RENDER_FIELDS],
+        chosen.alias("attachments"),
+    )
 
 
 def resolve_contexts(
@@ -108,6 +113,4 @@ def attach_context(docs: DataFrame, context: DataFrame) -> DataFrame:
 
 def build_approvals(materials: DataFrame, *keep: str) -> DataFrame:
     """Approval records of rows that hold both a material and a context struct."""
-    return materials.select(
-        *keep, *approval_columns(F.col("context"), F.col("material"))
-    )
+    return materials.select(*keep, *approval_columns("context", "material"))

@@ -9,6 +9,8 @@ labelled document never pays for ranking.  A line is carried as a struct
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,89 +110,82 @@ def missing_fields_error(missing: Column) -> Column:
     )
 
 
-def extraction_steps(
-    docs: DataFrame,
-    *,
-    text: str = "text",
-    min_chars: int = DEFAULT_MIN_CHARS,
-    vocab: Vocabulary = DEFAULT_VOCABULARY,
-) -> DataFrame:
-    """The cascade with its intermediate results in columns prefixed by ``_``."""
-    gated = text_gate(docs, text=text, min_chars=min_chars)
-    normalized = gated.withColumns(
-        {"raw_text": F.when(F.col("gate_passed"), normalize_text(F.col("gate_text"), vocab))}
-    ).withColumns({"_low": F.lower("raw_text")})
-    raw, low = F.col("raw_text"), F.col("_low")
+@lru_cache(maxsize=16)
+def cascade(vocab: Vocabulary = DEFAULT_VOCABULARY) -> tuple[dict[str, Column], ...]:
+    """The columns each step adds to gated documents, in order.
 
-    explicit = normalized.withColumns(
+    The expressions only name columns, so one set per vocabulary serves every plan.
+    """
+    raw, low = F.col("raw_text"), F.col("_low")
+    label_material, section_material = F.col("_label_material"), F.col("_section_material")
+    label_text, section_text = F.col("_label_description"), F.col("_section_description")
+    rows, declared, material = F.col("_rows"), F.col("_declared"), F.col("material_type")
+    passed, has_material = F.col("gate_passed"), material.isNotNull()
+    needs_material = label_material.isNull() & section_material.isNull()
+    needs_description = label_text.isNull() & section_text.isNull()
+    return (
+        {"raw_text": F.when(passed, normalize_text(F.col("gate_text"), vocab))},
+        {"_low": F.lower(raw)},
         {
             "_label_material": labeled_value(raw, vocab.material_labels),
             "_label_description": labeled_value(raw, vocab.description_labels),
             "_section_material": section_title(raw, low, vocab),
             "_section_description": section_body(raw, low, vocab),
-        }
-    )
-    needs_material = F.col("_label_material").isNull() & F.col("_section_material").isNull()
-    needs_description = (
-        F.col("_label_description").isNull() & F.col("_section_description").isNull()
-    )
-
-    rows = explicit.withColumns(
-        {"_rows": F.when(needs_material | needs_description, line_rows(raw, low, vocab))}
-    )
-    candidates = rows.withColumns(
+        },
+        {"_rows": F.when(needs_material | needs_description, line_rows(raw, low, vocab))},
         {
             "_candidates": F.when(
-                needs_material,
-                F.filter(F.col("_rows"), lambda row: scoring.candidate_row(row, vocab)),
+                needs_material, F.filter(rows, lambda row: scoring.candidate_row(row, vocab))
             ),
-            "_declared": F.when(needs_material, declaration_identifier(F.col("_rows"), vocab)),
-        }
-    )
-    ranked = candidates.withColumns(
-        {
-            "_best": F.when(F.col("_declared").isNull(), best_candidate(F.col("_candidates")))
-        }
-    )
-    material = ranked.withColumns(
+            "_declared": F.when(needs_material, declaration_identifier(rows, vocab)),
+        },
+        {"_best": F.when(declared.isNull(), best_candidate(F.col("_candidates")))},
         {
             "material_type": F.coalesce(
-                "_label_material", "_section_material", "_declared", F.col("_best")["line"]
+                label_material, section_material, declared, F.col("_best")["line"]
             )
-        }
-    )
-    has_material = F.col("material_type").isNotNull()
-    scored = material.withColumns(
+        },
         {
             "_scored": F.when(
-                has_material & needs_description,
-                score_descriptions(F.col("_rows"), F.col("material_type"), vocab),
+                has_material & needs_description, score_descriptions(rows, material, vocab)
             )
-        }
-    )
-    described = scored.withColumns({"_ranked_description": ranked_description(F.col("_scored"))})
-    return described.withColumns(
+        },
+        {"_ranked_description": ranked_description(F.col("_scored"))},
         {
             "description": F.when(
                 has_material,
                 F.coalesce(
-                    F.col("_label_description"),
-                    F.col("_section_description"),
+                    label_text,
+                    section_text,
                     F.col("_ranked_description"),
                     raw_text_description(raw, vocab),
                 ),
             ),
-            "status": F.when(~F.col("gate_passed"), F.lit(schemas.NON_TEXT))
+            "status": F.when(~passed, F.lit(schemas.NON_TEXT))
             .when(has_material, F.lit(schemas.OK))
             .otherwise(F.lit(schemas.PARSE_ERROR)),
-            "error": F.when(~F.col("gate_passed"), F.col("gate_error")).otherwise(
-                missing_fields_error(missing_fields(F.col("material_type")))
+            "error": F.when(~passed, F.col("gate_error")).otherwise(
+                missing_fields_error(missing_fields(material))
             ),
-        }
+        },
     )
 
 
-def material_step(vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
+def extraction_steps(
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    min_chars: int = DEFAULT_MIN_CHARS,
+    vocab: Vocabulary = DEFAULT_VOCABULARY,
+) -> DataFrame:
+    """The cascade with its intermediate results in columns prefixed by ``_``."""
+    rows = text_gate(docs, text=text, min_chars=min_chars)
+    for columns in cascade(vocab):
+        rows = rows.withColumns(columns)
+    return rows
+
+
+def material_step() -> Column:
     """Which step of the cascade gave the material type."""
     return (
         F.when(F.col("_label_material").isNotNull(), "label")

@@ -1,4 +1,4 @@
-"""Line-table forms: one row per meaningful line.
+"""Line-table forms: one row per meaningful line.
 
 For work whose output is lines, or statistics over them.  Ranking is an aggregate
 over ``(score, -line_no)``, combined map-side, so neither a window nor a group
@@ -7,39 +7,81 @@ collected into one task is needed, however many lines one document has.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift.functions import scoring
 from fieldsift.functions.text import collapse, meaningful_lines, strip_punct
+from fieldsift.operators.extract import line_rows
 from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
 
 
 def line_table(docs: DataFrame, *keys: str, normalized: str = "raw_text") -> DataFrame:
-    """``keys, line_no (from 1), line, next_line`` for every meaningful line."""
-    lines = docs.select(*keys, meaningful_lines(F.col(normalized)).alias("_lines"))
+    """``keys, line_no (from 1), line`` for every meaningful line."""
+    lines = docs.select(
+        *keys, F.posexplode(meaningful_lines(F.col(normalized))).alias("_pos", "line")
+    )
+    return lines.select(*keys, (F.col("_pos") + 1).alias("line_no"), "line")
+
+
+@lru_cache(maxsize=16)
+def _property_rows(normalized: str, vocab: Vocabulary) -> Column:
+    return line_rows(F.col(normalized), F.lower(normalized), vocab)
+
+
+def line_property_table(
+    docs: DataFrame,
+    *keys: str,
+    normalized: str = "raw_text",
+    vocab: Vocabulary = DEFAULT_VOCABULARY,
+) -> DataFrame:
+    """``keys, line_no, row, next_row``: the scored properties of each line.
+
+    Properties are computed before the lines are spread out, once per line; the
+    following line travels along, so no ordering is needed afterwards.
+    """
+    rows = docs.select(*keys, _property_rows(normalized, vocab).alias("_rows"))
     pairs = F.transform(
-        F.col("_lines"),
-        lambda line, i: F.struct(
-            line.alias("line"), F.get(F.col("_lines"), i + 1).alias("next_line")
+        F.col("_rows"),
+        lambda row, i: F.struct(
+            row.alias("row"), F.get(F.col("_rows"), i + 1).alias("next_row")
         ),
     )
-    return lines.select(*keys, F.posexplode(pairs).alias("_pos", "_row")).select(
-        *keys, (F.col("_pos") + 1).alias("line_no"), "_row.line", "_row.next_line"
+    return rows.select(*keys, F.posexplode(pairs).alias("_pos", "_pair")).select(
+        *keys, (F.col("_pos") + 1).alias("line_no"), "_pair.row", "_pair.next_row"
+    )
+
+
+def material_line_scores(lines: DataFrame, *keys: str) -> DataFrame:
+    """T15 for every line of a property table."""
+    return lines.select(
+        *keys, "line_no", scoring.material_row_score(F.col("row")).alias("score")
     )
 
 
+def description_line_scores(
+    lines: DataFrame,
+    *keys: str,
+    material_type: str = "material_type",
+    vocab: Vocabulary = DEFAULT_VOCABULARY,
+) -> DataFrame:
+    """T16 for every line of a property table that carries the material type."""
+    score = scoring.description_row_score(F.col("row"), F.lower(material_type), vocab)
+    return lines.select(*keys, "line_no", score.alias("score"))
+
+
 def top_material_lines(
     lines: DataFrame, *keys: str, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """Best candidate line per document and the number of candidates."""
-    low = F.lower("line")
-    scored = lines.where(scoring.is_candidate(low, vocab)).select(
+    scored = lines.where(scoring.candidate_row(F.col("row"), vocab)).select(
         *keys,
         F.struct(
-            scoring.material_score(F.col("line"), low, vocab).alias("score"),
+            scoring.material_row_score(F.col("row")).alias("score"),
             (-F.col("line_no")).alias("order"),
-            F.col("line").alias("line"),
+            F.col("row.line").alias("line"),
         ).alias("_row"),
     )
     return scored.groupBy(*keys).agg(
@@ -47,9 +89,9 @@ def top_material_lines(
     ).select(
         *keys,
         "candidates",
-        F.col("_top")["score"].alias("score"),
-        (-F.col("_top")["order"]).alias("line_no"),
-        F.col("_top")["line"].alias("line"),
+        F.col("_top.score").alias("score"),
+        (-F.col("_top.order")).alias("line_no"),
+        F.col("_top.line").alias("line"),
     )
 
 
@@ -60,30 +102,31 @@ def top_description_lines(
     vocab: Vocabulary = DEFAULT_VOCABULARY,
 ) -> DataFrame:
     """R2/A3: best line above zero, its follower if good enough, and how many are viable."""
-    material_low = F.lower(F.col(material_type))
+    material_low = F.lower(material_type)
 
-    def score(column: str):
-        return scoring.description_score(
-            F.col(column), F.lower(column), material_low, vocab
-        )
+    def score(row: str) -> Column:
+        return scoring.description_row_score(F.col(row), material_low, vocab)
 
+    # Scored once here: a filter on the score would compute it again.
     scored = lines.select(
-        *keys, "line_no", "line", "next_line", score("line").alias("_score"), material_type
-    ).where(F.col("_score") > 0)
-    best = scored.groupBy(*keys).agg(
-        F.max(
-            F.struct(
-                F.col("_score").alias("score"),
-                (-F.col("line_no")).alias("order"),
-                "line",
-                "next_line",
-                material_type,
-            )
-        ).alias("_top"),
-        F.count(F.lit(1)).alias("viable_lines"),
-    ).select(*keys, "viable_lines", "_top.*")
+        *keys,
+        F.struct(
+            score("row").alias("score"),
+            (-F.col("line_no")).alias("order"),
+            F.col("row.line").alias("line"),
+            F.col("next_row.line").alias("next_line"),
+            score("next_row").alias("next_score"),
+        ).alias("_row"),
+    )
+    viable = F.col("_row.score") > 0
+    best = (
+        scored.groupBy(*keys)
+        .agg(F.max("_row").alias("_top"), F.count_if(viable).alias("viable_lines"))
+        .where(F.col("viable_lines") > 0)
+        .select(*keys, "viable_lines", "_top.*")
+    )
     follower = F.when(
-        score("next_line") >= scoring.NEXT_LINE_MIN_SCORE, strip_punct(F.col("next_line"))
+        F.col("next_score") >= scoring.NEXT_LINE_MIN_SCORE, strip_punct(F.col("next_line"))
     )
     joined = F.concat_ws(" ", strip_punct(F.col("line")), follower)
     return best.select(

@@ -6,6 +6,8 @@ VARIANT keeps the JSON types, so a number is not silently read as a string.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ CONTEXT_UNREADABLE = "Failed to load context file."
 CONTEXT_UNSUPPORTED = "Unsupported context format: "
 CONTEXT_NO_YAML = "PyYAML is not installed. Install the yaml extra."
 
+FIELDS = {"context": schemas.CONTEXT_FIELDS, "material": schemas.MATERIAL_FIELDS}
+
 
 def validation_message(errors: Column) -> Column:
     """C4: ``field: message`` details joined behind a fixed prefix."""
@@ -90,26 +94,25 @@ def record_struct(record: Column, fields: dict[str, tuple[str, bool]]) -> Column
     return F.struct(*[field(n, kind).alias(n) for n, (kind, _) in fields.items()])
 
 
-def _parsed(files: DataFrame, content: str, fields: dict) -> DataFrame:
-    parsed = files.withColumns(
-        {"_record": F.try_parse_json(F.try_validate_utf8(F.col(content)))}
+@lru_cache(maxsize=16)
+def _parsing(content: str, kind: str) -> tuple[dict[str, Column], ...]:
+    """Columns that turn a JSON text into a VARIANT record and its errors."""
+    fields, record = FIELDS[kind], F.col("_record")
+    return (
+        {"_record": F.try_parse_json(F.try_validate_utf8(F.col(content)))},
+        {"_is_object": F.coalesce(F.startswith(_kind(record), F.lit("OBJECT")), F.lit(False))},
+        {"_errors": F.when(F.col("_is_object"), field_errors(record, fields))},
     )
-    record = F.col("_record")
-    return parsed.withColumns(
-        {
-            "_is_object": F.coalesce(F.startswith(_kind(record), F.lit("OBJECT")), F.lit(False)),
-        }
-    ).withColumns({"_errors": F.when(F.col("_is_object"), field_errors(record, fields))})
 
 
-def read_contexts(
-    files: DataFrame, *, path: str = "path", content: str = "content"
-) -> DataFrame:
-    """Context files to ``context_path, context_status, context_error, context``.
+def _parsed(files: DataFrame, content: str, kind: str) -> DataFrame:
+    for columns in _parsing(content, kind):
+        files = files.withColumns(columns)
+    return files
 
-    A missing content (null) stands for a file that does not exist.
-    """
-    parsed = _parsed(files, content, schemas.CONTEXT_FIELDS)
+
+@lru_cache(maxsize=16)
+def _context_columns(path: str, content: str) -> tuple[Column, ...]:
     kind, record = suffix(F.col(path)), F.col("_record")
     load_error = (
         F.when(
@@ -121,44 +124,53 @@ def read_contexts(
         .when(record.isNull(), F.lit(CONTEXT_BAD_JSON))
         .when(~F.col("_is_object"), F.lit(CONTEXT_NOT_MAPPING))
     )
-    checked = parsed.withColumns({"_load_error": load_error})
     has_errors = F.size("_errors") > 0
-    ok = F.col("_load_error").isNull() & ~has_errors
-    rows = checked.select(
+    return (
         F.col(path).alias("context_path"),
-        F.when(F.col("_load_error").isNotNull(), schemas.CONTEXT_ERROR)
+        F.when(load_error.isNotNull(), schemas.CONTEXT_ERROR)
         .when(has_errors, schemas.INVALID_DATA)
         .otherwise(schemas.OK)
         .alias("context_status"),
-        F.when(F.col("_load_error").isNotNull(), F.col("_load_error"))
-        .when(has_errors, validation_message(F.col("_errors")))
-        .alias("context_error"),
-        F.when(ok, record_struct(record, schemas.CONTEXT_FIELDS)).alias("context"),
+        F.coalesce(load_error, F.when(has_errors, validation_message(F.col("_errors")))).alias(
+            "context_error"
+        ),
+        F.when(
+            load_error.isNull() & ~has_errors, record_struct(record, schemas.CONTEXT_FIELDS)
+        ).alias("context"),
     )
-    return evaluate_once(rows, "context_path")
 
 
-def read_materials(
+def read_contexts(
     files: DataFrame, *, path: str = "path", content: str = "content"
 ) -> DataFrame:
-    """Parsed materials from JSON, to ``path, status, error, material``."""
-    parsed = _parsed(files, content, schemas.MATERIAL_FIELDS)
+    """Context files to ``context_path, context_status, context_error, context``.
+
+    A missing content (null) stands for a file that does not exist.
+    """
+    rows = _parsed(files, content, "context").select(*_context_columns(path, content))
+    return evaluate_once(rows, "context_path")
+
+
+@lru_cache(maxsize=16)
+def _material_columns(path: str) -> tuple[Column, ...]:
     record = F.col("_record")
-    errors = (
+    problems = (
         F.when(record.isNull(), F.array(F.lit(NOT_JSON)))
         .when(~F.col("_is_object"), F.array(F.lit(NOT_OBJECT)))
         .otherwise(F.col("_errors"))
     )
-    rows = (
-        parsed.withColumns({"_problems": errors})
-        .withColumns({"_ok": F.size("_problems") == 0})
-        .select(
-            F.col(path).alias("path"),
-            F.when(F.col("_ok"), schemas.OK).otherwise(schemas.INVALID_DATA).alias("status"),
-            F.when(~F.col("_ok"), validation_message(F.col("_problems"))).alias("error"),
-            F.when(F.col("_ok"), record_struct(record, schemas.MATERIAL_FIELDS)).alias(
-                "material"
-            ),
-        )
+    ok = F.size(problems) == 0
+    return (
+        F.col(path).alias("path"),
+        F.when(ok, schemas.OK).otherwise(schemas.INVALID_DATA).alias("status"),
+        F.when(~ok, validation_message(problems)).alias("error"),
+        F.when(ok, record_struct(record, schemas.MATERIAL_FIELDS)).alias("material"),
     )
+
+
+def read_materials(
+    files: DataFrame, *, path: str = "path", content: str = "content"
+) -> DataFrame:
+    """Parsed materials from JSON, to ``path, status, error, material``."""
+    rows = _parsed(files, content, "material").select(*_material_columns(path))
     return evaluate_once(rows, "path")

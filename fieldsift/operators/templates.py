@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ def fill_template(template: Column, values: Column) -> Column:
     return F.concat(F.array_join(filled, ""), tail)
 
 
+@lru_cache(maxsize=1)
 def render_values() -> Column:
     """The twelve named values of an approval row, as a map."""
     return F.create_map(

@@ -157,7 +157,7 @@ def generate_approvals(
         F.when(F.col("_status") == schemas.OK, target).alias("output"),
         "context_path",
         F.when(F.col("_status") == schemas.OK, F.col("template")).alias("template"),
-        *approval_columns(F.col("context")),
+        *approval_columns("context"),
     )
     return rows.withColumn(
         "rendered", fill_template(F.col("template"), render_values())
@@ -206,7 +206,7 @@ def batch_documents(
             path, F.col("_status"), batch_output_path(path, output_dir), F.col("_error")
         ),
         F.when(F.col("_status") == schemas.OK, F.col("template")).alias("template"),
-        *approval_columns(F.col("context")),
+        *approval_columns("context"),
     )
     return rows.withColumn("rendered", fill_template(F.col("template"), render_values())).select(
         "pdf", "status", "output", "error", "reason", "rendered"

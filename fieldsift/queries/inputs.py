@@ -124,10 +124,9 @@ DOCUMENT_PATH_SQL = "concat(source, '/doc-', CAST(doc_id AS VARCHAR(20)), '.pdf'
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, source_path, text, lang, source`` of every document."""
-    docs = load(spark, sf_dir, "documents").selectExpr(
+    return spread_if_few(load(spark, sf_dir, "documents")).selectExpr(
         "doc_id", f"{DOCUMENT_PATH_SQL} AS source_path", "text", "lang", "source"
     )
-    return spread_if_few(docs)
 
 
 def spread_if_few(docs: DataFrame) -> DataFrame:
@@ -144,7 +143,7 @@ def spread_if_few(docs: DataFrame) -> DataFrame:
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sheet_id, source_path, text, explicit_context, template_path, explicit_output``."""
-    return load(spark, sf_dir, "part").selectExpr(
+    return spread_if_few(load(spark, sf_dir, "part")).selectExpr(
         "p_partkey AS sheet_id",
         f"{SHEET_PATH_SQL} AS source_path",
         f"{SHEET_TEXT_SQL} AS text",

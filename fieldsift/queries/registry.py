@@ -28,7 +28,6 @@ from fieldsift.functions.text import (
 from fieldsift.operators import extract, line_table, records, reports
 from fieldsift.operators import templates as template_ops
 from fieldsift.operators.approval import (
-    approval_columns,
     attach_context,
     attachments_text,
     resolve_contexts,
@@ -67,6 +66,10 @@ def md5(column: str) -> F.Column:
     return F.md5(F.col(column))
 
 
+def bigints(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in columns})
+
+
 def documents(spark, sf_dir):
     return inputs.documents(spark, sf_dir)
 
@@ -462,11 +465,8 @@ def p3_candidate(spark, sf_dir):
     f"CAST({O.material_score('line')} AS BIGINT) AS score FROM line_table",
 )
 def t15_material_score(spark, sf_dir):
-    line = F.col("line")
-    return line_table.line_table(raw_documents(spark, sf_dir), "doc_id").select(
-        "doc_id", F.col("line_no").cast("bigint").alias("line_no"),
-        scoring.material_score(line, F.lower(line)).cast("bigint").alias("score"),
-    )
+    lines = line_table.line_property_table(raw_documents(spark, sf_dir), "doc_id")
+    return bigints(line_table.material_line_scores(lines, "doc_id"), "line_no", "score")
 
 
 # The language name stands for the material type, and once in a while equals a line.
@@ -483,13 +483,8 @@ def t16_description_score(spark, sf_dir):
     docs = raw_documents(spark, sf_dir).withColumn(
         "material_type", F.get(meaningful_lines(F.col("raw_text")), F.lit(0))
     )
-    line = F.col("line")
-    return line_table.line_table(docs, "doc_id", "material_type").select(
-        "doc_id", F.col("line_no").cast("bigint").alias("line_no"),
-        scoring.description_score(line, F.lower(line), F.lower("material_type"))
-        .cast("bigint")
-        .alias("score"),
-    )
+    lines = line_table.line_property_table(docs, "doc_id", "material_type")
+    return bigints(line_table.description_line_scores(lines, "doc_id"), "line_no", "score")
 
 
 # --- ranking over the line table ----------------------------------------------
@@ -511,7 +506,7 @@ def _top_material(lines: DataFrame, key: str) -> DataFrame:
     f"{DOC_BASE}, {O.LINE_TABLE}, {O.CANDIDATES} {_TOP_MATERIAL.format(key='doc_id')}",
 )
 def r1_top_material_line(spark, sf_dir):
-    lines = line_table.line_table(raw_documents(spark, sf_dir), "doc_id")
+    lines = line_table.line_property_table(raw_documents(spark, sf_dir), "doc_id")
     return _top_material(lines, "doc_id")
 
 
@@ -520,7 +515,8 @@ def r1_top_material_line(spark, sf_dir):
     f"{SHEET_BASE}, {O.LINE_TABLE}, {O.CANDIDATES} {_TOP_MATERIAL.format(key='sheet_id')}",
 )
 def r1_top_material_line_sheets(spark, sf_dir):
-    return _top_material(sheet_lines(spark, sf_dir), "sheet_id")
+    lines = line_table.line_property_table(raw_sheets(spark, sf_dir), "sheet_id")
+    return _top_material(lines, "sheet_id")
 
 
 _TOP_DESCRIPTION = (
@@ -545,7 +541,7 @@ def r2_description_lines(spark, sf_dir):
     docs = raw_documents(spark, sf_dir).withColumn(
         "material_type", F.get(meaningful_lines(F.col("raw_text")), F.lit(0))
     )
-    return _top_description(line_table.line_table(docs, "doc_id", "material_type"), "doc_id")
+    return _top_description(line_table.line_property_table(docs, "doc_id", "material_type"), "doc_id")
 
 
 @query(
@@ -557,7 +553,7 @@ def r2_description_lines_sheets(spark, sf_dir):
     docs = raw_sheets(spark, sf_dir).withColumn(
         "material_type", F.get(meaningful_lines(F.col("raw_text")), F.lit(0))
     )
-    return _top_description(line_table.line_table(docs, "sheet_id", "material_type"), "sheet_id")
+    return _top_description(line_table.line_property_table(docs, "sheet_id", "material_type"), "sheet_id")
 
 
 @query(
