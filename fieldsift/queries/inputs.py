@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldsift.sources.documents import spread
+
 SHEET_MIN_CHARS = 60
 
 
@@ -129,16 +131,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spread_if_few(docs: DataFrame) -> DataFrame:
-    """More partitions for a table that comes in fewer files than there are cores.
+def spread_if_few(rows: DataFrame) -> DataFrame:
+    """More partitions for a table that gives fewer scan tasks than there are cores.
 
     The given tables are single files with one row group, which would leave all the
-    work to one task; a table of many files is scanned as it is.
+    work to one task; a table with enough splits is scanned as it is.
     """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if len(docs.inputFiles()) >= cores:
-        return docs
-    return docs.repartition(2 * cores)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return spread(rows, 2 * cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +208,8 @@ DEFAULT_CONTEXT_KEY = 5
 
 def context_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content``: a context per supplier folder, per customer, and the default."""
-    suppliers, customers = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "customer")
+    suppliers = load(spark, sf_dir, "supplier")
+    customers = spread_if_few(load(spark, sf_dir, "customer"))
     content = context_json_sql("s_name", "s_suppkey")
     nearby = suppliers.selectExpr(
         f"{SUPPLIER_CONTEXT_PATH_SQL} AS path", f"{content} AS content"
@@ -255,7 +256,7 @@ MATERIAL_FILE_SQL = "concat('in/', CAST(p_partkey AS VARCHAR(20)), '.json')"
 
 def material_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content, context_path``: a parsed material per part, some defective."""
-    return load(spark, sf_dir, "part").selectExpr(
+    return spread_if_few(load(spark, sf_dir, "part")).selectExpr(
         f"{MATERIAL_FILE_SQL} AS path",
         f"{MATERIAL_JSON_SQL} AS content",
     )

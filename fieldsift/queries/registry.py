@@ -1006,7 +1006,7 @@ _PAIRED = (
 
 
 def _paired(spark, sf_dir):
-    files = inputs.load(spark, sf_dir, "part").selectExpr(
+    files = inputs.spread_if_few(inputs.load(spark, sf_dir, "part")).selectExpr(
         f"{inputs.MATERIAL_FILE_SQL} AS path",
         f"{inputs.MATERIAL_JSON_SQL} AS content",
         f"{_MATERIAL_CONTEXT_SQL} AS context_path",
