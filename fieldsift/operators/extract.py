@@ -89,6 +89,61 @@ def ranked_description(scored: Column) -> Column:
     return let(F.array_max(scored), text)
 
 
+def viable_lines(scored: Column) -> Column:
+    """A3: how many lines score above zero."""
+    return F.size(F.filter(scored, lambda row: row["score"] > 0))
+
+
+@lru_cache(maxsize=16)
+def _ranking_columns(normalized: str, vocab: Vocabulary) -> tuple[Column, Column]:
+    rows = line_rows(F.col(normalized), F.lower(normalized), vocab)
+    candidates = F.filter(F.col("_rows"), lambda row: scoring.candidate_row(row, vocab))
+    return rows, candidates
+
+
+def rank_material_lines(
+    docs: DataFrame,
+    *keys: str,
+    normalized: str = "raw_text",
+    vocab: Vocabulary = DEFAULT_VOCABULARY,
+) -> DataFrame:
+    """R1/A4 inside the document's row: no shuffle, null where there is no candidate."""
+    rows, candidates = _ranking_columns(normalized, vocab)
+    found = docs.select(*keys, rows.alias("_rows")).select(*keys, candidates.alias("_candidates"))
+    best = found.select(
+        *keys,
+        F.size("_candidates").alias("candidates"),
+        best_candidate(F.col("_candidates")).alias("_best"),
+    )
+    return best.select(
+        *keys,
+        "candidates",
+        F.col("_best.score").alias("score"),
+        F.col("_best.line").alias("line"),
+    )
+
+
+def rank_description_lines(
+    docs: DataFrame,
+    *keys: str,
+    normalized: str = "raw_text",
+    material_type: str = "material_type",
+    vocab: Vocabulary = DEFAULT_VOCABULARY,
+) -> DataFrame:
+    """R2/A3 inside the document's row, null where no line is viable."""
+    rows, _ = _ranking_columns(normalized, vocab)
+    scored = docs.select(*keys, material_type, rows.alias("_rows")).select(
+        *keys,
+        score_descriptions(F.col("_rows"), F.col(material_type), vocab).alias("_scored"),
+    )
+    return scored.select(
+        *keys,
+        viable_lines(F.col("_scored")).alias("viable_lines"),
+        F.array_max("_scored")["score"].alias("score"),
+        ranked_description(F.col("_scored")).alias("description"),
+    )
+
+
 def raw_text_description(normalized: Column, vocab: Vocabulary) -> Column:
     """Last resort: the beginning of the text, or a placeholder for an empty one."""
     head = F.substring(strip(collapse(normalized)), 1, RAW_TEXT_CHARS)

@@ -503,11 +503,13 @@ def _top_material(lines: DataFrame, key: str) -> DataFrame:
 
 @query(
     "r1_top_material_line",
-    f"{DOC_BASE}, {O.LINE_TABLE}, {O.CANDIDATES} {_TOP_MATERIAL.format(key='doc_id')}",
+    f"{DOC_BASE}, {O.LINE_TABLE}, {O.CANDIDATES} SELECT k AS doc_id, "
+    "CAST(coalesce(n, 0) AS BIGINT) AS candidates, CAST(score AS BIGINT) AS score, line "
+    "FROM lists LEFT JOIN candidate_counts USING (k) LEFT JOIN top_material USING (k) WHERE passed",
 )
 def r1_top_material_line(spark, sf_dir):
-    lines = line_table.line_property_table(raw_documents(spark, sf_dir), "doc_id")
-    return _top_material(lines, "doc_id")
+    docs = raw_documents(spark, sf_dir, passed_only=True)
+    return bigints(extract.rank_material_lines(docs, "doc_id"), "candidates", "score")
 
 
 @query(
@@ -535,13 +537,16 @@ def _top_description(lines: DataFrame, key: str) -> DataFrame:
 @query(
     "r2_description_lines",
     f"{DOC_BASE}, {O.LINE_TABLE}, m AS (SELECT k, lines[1] AS material_type FROM lists), "
-    f"{O.scored_lines('m')} {_TOP_DESCRIPTION.format(key='doc_id')}",
+    f"{O.scored_lines('m')} SELECT k AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS viable_lines, "
+    "CAST(best AS BIGINT) AS score, description FROM lists "
+    "LEFT JOIN (SELECT k, max(score) AS best FROM scored GROUP BY k) USING (k) "
+    "LEFT JOIN viable USING (k) LEFT JOIN top_description USING (k) WHERE passed",
 )
 def r2_description_lines(spark, sf_dir):
-    docs = raw_documents(spark, sf_dir).withColumn(
+    docs = raw_documents(spark, sf_dir, passed_only=True).withColumn(
         "material_type", F.get(meaningful_lines(F.col("raw_text")), F.lit(0))
     )
-    return _top_description(line_table.line_property_table(docs, "doc_id", "material_type"), "doc_id")
+    return bigints(extract.rank_description_lines(docs, "doc_id"), "viable_lines", "score")
 
 
 @query(
@@ -562,7 +567,7 @@ def r2_description_lines_sheets(spark, sf_dir):
     "FROM extracted WHERE status = 'ok'",
 )
 def a3_viable_lines(spark, sf_dir):
-    viable = F.size(F.filter(F.col("_scored"), lambda s: s["score"] > 0))
+    viable = extract.viable_lines(F.col("_scored"))
     counted = document_steps(spark, sf_dir).select(
         "doc_id", "status", viable.cast("bigint").alias("viable_lines")
     )
