@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
+DEFAULT_SALTS = 1
 
 
 def lookup(
@@ -20,20 +20,22 @@ def lookup(
     """Left join to a dimension whose key is unique.
 
     No broadcast is forced: Spark broadcasts the dimension when its size is below
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.  For the
-    shuffled case one key may hold a large part of all documents, so the document
-    side is salted and each dimension row is repeated once per salt; a hot key is
-    then shared by ``salts`` tasks (and AQE may split those further).
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.  In the shuffled
+    case one key may hold a large part of all documents; adaptive execution then
+    splits the documents of that key over several tasks.  Where that is switched off,
+    ``salts`` does the same by hand: documents are spread over that many copies of
+    each dimension row.
     """
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    left = docs.withColumns({"_lookup_key": key, "_salt": salt})
-    right = dimension.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    ).withColumnRenamed(dimension_key, "_dimension_key")
-    on = (left["_lookup_key"] == right["_dimension_key"]) & (left["_salt"] == right["_salt"])
-    return left.join(right, on, "left").drop(right["_salt"]).drop(
-        "_salt", "_lookup_key", "_dimension_key"
-    )
+    left = docs.withColumns({"_lookup_key": key})
+    right = dimension.withColumnRenamed(dimension_key, "_dimension_key")
+    on = left["_lookup_key"] == right["_dimension_key"]
+    if salts > 1:
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        right = right.withColumn("_copy", copies)
+        on = on & (left["_salt"] == right["_copy"])
+    joined = left.join(right, on, "left")
+    return joined.drop("_lookup_key", "_dimension_key", "_salt", "_copy")
 
 
 def only_row(dimension: DataFrame, value: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldsift import schemas
 from fieldsift.functions.paths import suffix
+from fieldsift.functions.text import let
 from fieldsift.operators.barrier import evaluate_once
 
 # Messages of the validation rules.
@@ -46,16 +47,19 @@ def _value(record: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(record, path, kind)
 
 
-def _string_error(value: Column, name: str, required: bool, nullable: bool) -> Column:
+def _string_error(record: Column, name: str, required: bool, nullable: bool) -> Column:
     accepted = ["STRING", "VOID"] if nullable else ["STRING"]
-    wrong = F.when(~_kind(value).isin(*accepted), F.lit(f"{name}: {NOT_STRING}"))
-    if not required:
-        return F.array(wrong)
-    return F.array(F.when(value.isNull(), F.lit(f"{name}: {MISSING}")).otherwise(wrong))
+
+    def error(kind: Column) -> Column:
+        wrong = F.when(~kind.isin(*accepted), F.lit(f"{name}: {NOT_STRING}"))
+        if not required:
+            return wrong
+        return F.when(kind.isNull(), F.lit(f"{name}: {MISSING}")).otherwise(wrong)
+
+    return F.array(let(_kind(_value(record, f"$.{name}")), error))
 
 
 def _list_errors(record: Column, name: str) -> Column:
-    value = _value(record, f"$.{name}")
     items = F.transform(
         _value(record, f"$.{name}", "array<variant>"),
         lambda item, i: F.when(
@@ -64,11 +68,16 @@ def _list_errors(record: Column, name: str) -> Column:
         ),
     )
     none = F.array().cast("array<string>")
-    return (
-        F.when(value.isNull(), none)
-        .when(~F.startswith(_kind(value), F.lit("ARRAY")), F.array(F.lit(f"{name}: {NOT_LIST}")))
-        .otherwise(F.coalesce(items, none))
-    )
+
+    def errors(kind: Column) -> Column:
+        no_list = F.array(F.lit(f"{name}: {NOT_LIST}"))
+        return (
+            F.when(kind.isNull(), none)
+            .when(~F.startswith(kind, F.lit("ARRAY")), no_list)
+            .otherwise(F.coalesce(items, none))
+        )
+
+    return let(_kind(_value(record, f"$.{name}")), errors)
 
 
 def field_errors(record: Column, fields: dict[str, tuple[str, bool]]) -> Column:
@@ -76,7 +85,7 @@ def field_errors(record: Column, fields: dict[str, tuple[str, bool]]) -> Column:
     errors = [
         _list_errors(record, name)
         if kind == "strings"
-        else _string_error(_value(record, f"$.{name}"), name, required, kind == "optional")
+        else _string_error(record, name, required, kind == "optional")
         for name, (kind, required) in fields.items()
     ]
     return F.array_compact(F.concat(*errors))

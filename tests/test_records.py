@@ -115,7 +115,8 @@ def test_context_precedence(spark, salts):
     assert nowhere[0] is None and "Add context.json next to the PDF" in nowhere[2]
 
 
-def test_lookup_of_a_hot_key_is_whole_when_shuffled(spark):
+@pytest.mark.parametrize("salts", [1, 16])
+def test_lookup_of_a_hot_key_is_whole_when_shuffled(spark, salts):
     docs = spark.range(3000).select(
         F.when(F.col("id") % 3 != 0, F.concat(F.lit("hot/"), "id"))
         .otherwise(F.concat(F.lit("d"), "id", F.lit("/x")))
@@ -125,7 +126,7 @@ def test_lookup_of_a_hot_key_is_whole_when_shuffled(spark):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        counts = resolve_contexts(docs, known).groupBy("context_path").count().collect()
+        counts = resolve_contexts(docs, known, salts=salts).groupBy("context_path").count().collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert {r.context_path: r["count"] for r in counts} == {
