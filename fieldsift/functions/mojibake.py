@@ -97,11 +97,24 @@ def redecode(text: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     return F.when(readable, let(damage_score(text, vocab), first_better)).otherwise(text)
 
 
+def may_need_repair(text: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
+    """False only for texts that both repair steps leave alone; one scan.
+
+    Broken sequences and decodable damage start with a marker's first letter and go
+    on with a character beyond ASCII, which sets them apart from a plain capital
+    such as the first letter of a German word.
+    """
+    leads = {m[0] for m in vocab.damage_markers}
+    sequences = [broken for broken, _ in vocab.broken_sequences]
+    recognisable = all("\xc0" <= c <= "\xff" for c in leads) and all(
+        b[0] in leads and not b[1:2].isascii() for b in sequences
+    )
+    if not recognisable:
+        return F.lit(True)
+    return F.rlike(text, F.lit(f"[{''.join(sorted(leads))}][^\\x00-\\x7f]"))
+
+
 def repair(text: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
-    """T3 then T4; undamaged text costs only the marker search."""
+    """T3 then T4; undamaged text costs only one scan."""
     repaired = let(replace_broken(text, vocab), lambda t: redecode(t, vocab))
-    # Skipping is safe when every broken sequence holds a marker.
-    markers = _shortest_markers(vocab)
-    if all(any(m in broken for m in markers) for broken, _ in vocab.broken_sequences):
-        return F.when(has_damage(text, vocab), repaired).otherwise(text)
-    return repaired
+    return F.when(may_need_repair(text, vocab), repaired).otherwise(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldsift.functions.mojibake import has_damage, repair
+from fieldsift.functions.mojibake import may_need_repair, repair
 from fieldsift.functions.text import (
     drop_invisible,
     join_stripped_lines,
@@ -27,6 +27,5 @@ def normalize_text(text: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Colu
     """
     cleaned = drop_invisible(unify_breaks(text))
     full = join_stripped_lines(let(cleaned, lambda t: repair(t, vocab)))
-    return F.when(F.rlike(text, F.lit(UNUSUAL)) | has_damage(text, vocab), full).otherwise(
-        F.array_join(plain_stripped_lines(text), "\n")
-    )
+    special = F.rlike(text, F.lit(UNUSUAL)) | may_need_repair(text, vocab)
+    return F.when(special, full).otherwise(F.array_join(plain_stripped_lines(text), "\n"))

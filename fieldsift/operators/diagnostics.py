@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift import schemas
-from fieldsift.functions.text import let, none_if_empty, preview, python_repr
+from fieldsift.functions.text import none_if_empty, preview, python_repr
 
 CANDIDATE_CHARS = 40
 CANDIDATES_SHOWN = 3

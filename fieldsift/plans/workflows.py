@@ -20,7 +20,7 @@ from fieldsift.operators.approval import (
 from fieldsift.operators.diagnostics import diagnostics_text
 from fieldsift.operators.extract import extract_fields
 from fieldsift.operators.gate import DEFAULT_MIN_CHARS, scan_diagnosis
-from fieldsift.operators.lookup import only_row
+from fieldsift.operators.lookup import lookup, only_row
 from fieldsift.operators.reports import batch_item, exit_code
 from fieldsift.operators.templates import (
     attach_templates,
@@ -69,16 +69,22 @@ def build_approval_records(
     The material is checked before the context; every failure ends with code 1.
     """
     found = contexts.select(
-        F.col("context_path").alias("_path"),
-        F.struct("context_status", "context_error", "context").alias("_found"),
+        "context_path", F.struct("context_status", "context_error", "context").alias("_found")
     )
-    joined = materials.join(found, F.col(context_path) == F.col("_path"), "left")
+    wanted = F.col(context_path)
+    joined = lookup(
+        materials.withColumnRenamed(context_path, "_wanted"),
+        found.withColumnRenamed("context_path", "_path"),
+        key=F.col("_wanted"),
+        dimension_key="_path",
+        spread_by=F.col("path"),
+    ).withColumnRenamed("_wanted", context_path)
     context_status = F.coalesce(F.col("_found.context_status"), F.lit(schemas.CONTEXT_ERROR))
     context_error = F.coalesce(
         F.col("_found.context_error"),
         F.when(
             F.col("_found").isNull(),
-            F.concat(F.lit("Context file not found: "), F.col(context_path)),
+            F.concat(F.lit("Context file not found: "), wanted),
         ),
     )
     checked = joined.select(

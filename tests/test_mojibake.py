@@ -58,6 +58,13 @@ def test_redecode_matches_the_codecs(column):
     assert sum(second_decoding(t) != t for t in texts) > 50
     assert column(texts, mojibake.redecode) == [second_decoding(t) for t in texts]
 
+    def repaired(text):
+        for broken, fixed in BROKEN_SEQUENCES:
+            text = text.replace(broken, fixed)
+        return second_decoding(text)
+
+    assert column(texts, mojibake.repair) == [repaired(t) for t in texts]
+
 
 def test_damage_score_counts_overlapping_markers(column):
     texts = ["Ã Å Ä", "â€“ â€”", "â€ž", "plain", ""]

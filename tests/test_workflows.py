@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 from test_records import COMPLETE, contexts
 
 from fieldsift.operators.reports import batch_totals, shared_outputs
