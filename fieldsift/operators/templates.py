@@ -64,12 +64,11 @@ def attach_templates(
     salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Add the split template, null where the path is not in the template table."""
-    pieces = split_templates(templates).withColumnRenamed("template_path", "_template_path")
     return lookup(
         docs,
-        pieces,
+        split_templates(templates),
         key=F.col(template_path),
-        dimension_key="_template_path",
+        dimension_key="template_path",
         spread_by=F.col(spread_by),
         salts=salts,
     )

@@ -73,12 +73,8 @@ def build_approval_records(
     )
     wanted = F.col(context_path)
     joined = lookup(
-        materials.withColumnRenamed(context_path, "_wanted"),
-        found.withColumnRenamed("context_path", "_path"),
-        key=F.col("_wanted"),
-        dimension_key="_path",
-        spread_by=F.col("path"),
-    ).withColumnRenamed("_wanted", context_path)
+        materials, found, key=wanted, dimension_key="context_path", spread_by=F.col("path")
+    )
     context_status = F.coalesce(F.col("_found.context_status"), F.lit(schemas.CONTEXT_ERROR))
     context_error = F.coalesce(
         F.col("_found.context_error"),
