@@ -866,7 +866,7 @@ def c2_context_validation(spark, sf_dir):
 )
 def c2_event_props(spark, sf_dir):
     fields = {"k": ("string", True), "v": ("string", True)}
-    events = inputs.load(spark, sf_dir, "events")
+    events = inputs.spread_if_few(inputs.load(spark, sf_dir, "events"))
     return events.select(
         "event_id",
         records.validation_message(
