@@ -23,8 +23,8 @@ other than id and text are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,8 @@ from fieldsift.llm.common import id_and_text, numbered, parts, stored
 
 CAPACITY = 1024
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+BLOCK_CHARS = 1 << 20
 ROWS_A_SLICE = 200_000
 
 PIECE_SCHEMA = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -44,16 +45,34 @@ PLAN_SCHEMA = (
     "length long, first_rank long, last_rank long, first_sequence long, "
     "first_offset long, repeat long"
 )
-#: Before a single space that a non-space follows, byte-level BPE always begins a token.
-_SAFE = re.compile(r" (?=\S)")
-_UNSAFE_SPACE = re.compile(r" \s| $")
+#: White space other than a space or a line break, as Python sees it.
+_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_MARKS = ".,;:!?"
+
+
+def single_spaced(text: str) -> bool:
+    """Whether all white space is one space or line break between two other characters."""
+    breaks = text.count(" ") + text.count("\n")
+    return len(text.split()) == breaks + 1 and not any(c in text for c in _OTHER_SPACES)
+
+
+def _letters_of_bytes() -> dict[int, str]:
+    """The printable letter that byte-level BPE writes for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+_LETTERS = _letters_of_bytes()
 
 
 class WordTokens:
     """Token ids of texts as little-endian bytes, with the ids of words cached.
 
-    A text is split where a token surely begins, so the ids of its parts are the ids of
-    the text.  The cache lives as long as the Python worker and holds ``CACHED_WORDS``.
+    Byte-level BPE begins a token before a single space and on both sides of a single line
+    break, so the ids of a text are those of its words, each with the space or break before
+    it.  Texts with other white space are encoded as wholes.  The cache lives as long as
+    the Python worker; it is emptied once it holds about ``CACHED_WORDS``.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,54 +81,82 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[str]) -> None:
-        """Ids of `` word`` for each word: many to a call, a line break between them."""
-        if len(self.words) + len(words) > CACHED_WORDS:
-            self.words.clear()
-        plain = [w for w in words if w.isalnum()]
-        if plain:
-            [line_break] = self.tokenizer.encode("\n", add_special_tokens=False).ids
-            ids = np.array(
-                self.tokenizer.encode_batch_fast(
-                    ["".join(f" {w}\n" for w in plain)], add_special_tokens=False
-                )[0].ids,
-                "<u4",
-            )
-            ends = np.flatnonzero(ids == line_break).tolist()
+        self.tails: dict[str, bytes] = {}
+        [self.line_break] = self._encode("\n")
+
+    def _encode(self, text: str) -> np.ndarray:
+        [found] = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of `` word`` or, for a word behind a line break, of the break and the word.
+
+        A plain word with plain marks behind it is one token run of letters and one of
+        marks.  Other words go into one text with a break after each, and its ids are cut
+        there.
+        """
+        mark = np.array([self.line_break], "<u4").tobytes()
+        odd = []
+        for word in words:
+            behind = word[0] == "\n"
+            body = word[1:] if behind else word
+            bare = body.rstrip(_MARKS)
+            if not bare.isalpha() or max(bare) > "\u024f":
+                odd.append(word)
+                continue
+            base = "\n" + bare if behind else bare
+            own = self.words.get(base)
+            if own is None:
+                spelled = (bare if behind else " " + bare).encode().decode("latin-1")
+                found = [t.id for t in self.tokenizer.model.tokenize(spelled.translate(_LETTERS))]
+                own = (mark if behind else b"") + array("I", found).tobytes()
+                self.words[base] = own
+            if len(body) > len(bare):
+                tail = body[len(bare) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._encode(tail).tobytes()
+                self.words[word] = own + self.tails[tail]
+        for k in range(0, len(odd), 4096):
+            some = odd[k : k + 4096]
+            ids = self._encode("".join(w[1:] + "\n" if w[0] == "\n" else f" {w}\n" for w in some))
             begin = 0
-            for word, end in zip(plain, ends, strict=True):
-                self.words[word] = ids[begin:end].tobytes()
+            for word, end in zip(some, np.flatnonzero(ids == self.line_break).tolist(), strict=True):
+                own = ids[begin:end].tobytes()
+                self.words[word] = mark + own if word[0] == "\n" else own
                 begin = end + 1
-        odd = [w for w in words if not w.isalnum()]
-        self.words.update(zip(odd, self.encode([" " + w for w in odd]), strict=True))
-
-    def ids(self, text: str) -> bytes:
-        if _UNSAFE_SPACE.search(text):
-            first, *rest = _SAFE.split(text)
-        else:
-            first, *rest = text.split(" ")
-        try:
-            tail = b"".join(map(self.words.__getitem__, rest))
-        except KeyError:
-            tail = self._missed(rest)
-        return (self.encode([first])[0] if first else b"") + tail
-
-    def _missed(self, rest: list[str]) -> bytes:
+
+    def _joined(self, parts: list[str]) -> bytes:
         done = []
-        for k in range(0, len(rest), CACHED_WORDS // 4):
-            some = rest[k : k + CACHED_WORDS // 4]
-            missing = set(some).difference(self.words)
-            if len(self.words) + len(missing) > CACHED_WORDS:
-                missing = set(some)  # the cache is about to be emptied
-            self._learn(missing)
-            done.append(b"".join(map(self.words.__getitem__, some)))
+        for k in range(0, len(parts), CACHED_WORDS // 2):
+            some = parts[k : k + CACHED_WORDS // 2]
+            try:
+                done.append(b"".join(map(self.words.__getitem__, some)))
+            except KeyError:
+                self._hold(set(some))
+                done.append(b"".join(map(self.words.__getitem__, some)))
         return b"".join(done)
 
+    def _hold(self, words: set[str]) -> None:
+        missing = words.difference(self.words)
+        if len(self.words) + len(missing) > CACHED_WORDS:
+            self.words.clear()
+            missing = words
+        self._learn(list(missing))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        split = [
+            f"\n{t}".replace("\n", " \n").split(" ")[1:] if single_spaced(t) else None
+            for t in texts
+        ]
+        words = set().union(*(p for p in split if p))
+        if len(words) <= CACHED_WORDS // 2:
+            self._hold(words)
+        # The break put before the first word is taken off again.
+        return [
+            self._encode(t).tobytes() if p is None else self._joined(p)[4:]
+            for t, p in zip(texts, split, strict=True)
+        ]
+
 
 _loaded: dict[str, WordTokens] = {}
 
@@ -120,6 +167,18 @@ def word_tokens(path: str) -> WordTokens:
     return _loaded[path]
 
 
+def _blocks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about BLOCK_CHARS."""
+    begin, held = 0, 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held >= BLOCK_CHARS:
+            yield texts[begin : k + 1]
+            begin, held = k + 1, 0
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: the rest first, then full ones."""
     rest = n % capacity
@@ -139,11 +198,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         )
         for batch in batches:
             rows = []
-            for doc_id, text, row in zip(*batch.columns, strict=True):
-                ids = tokens.ids(text.as_py() or "") + end
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            ids = (i for block in _blocks(texts) for i in tokens.ids(block))
+            for doc_id, row, own in zip(batch.column(0), batch.column(2), ids, strict=True):
+                own += end
                 rows += [
-                    (doc_id.as_py(), row.as_py(), k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)]))
-                    for k, (a, n) in enumerate(cut(len(ids) // 4, capacity))
+                    (doc_id.as_py(), row.as_py(), k, a, n, zlib.crc32(own[4 * a : 4 * (a + n)]))
+                    for k, (a, n) in enumerate(cut(len(own) // 4, capacity))
                 ]
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
             arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
