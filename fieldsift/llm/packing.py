@@ -36,7 +36,7 @@ from fieldsift.llm.common import id_and_text, numbered, parts, stored
 
 CAPACITY = 1024
 END_ID = 2
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 BLOCK_CHARS = 1 << 20
 ROWS_A_SLICE = 200_000
 
