@@ -5,8 +5,8 @@ host's pages contain it and at least ``least_pages`` do; such lines are dropped.
 
 Only hashes of lines are shuffled for the counts, combined before the shuffle, so a host
 with a third of all pages is counted in parts.  A host has at most (lines a page) / ratio
-boilerplate lines, so its list fits a row; pages meet the list of their host in a join
-that adaptive execution splits where a host is hot.
+boilerplate lines, so its list fits a row; ``SALTS`` copies of it meet the pages of the
+host, so a hot host is split over as many keys.
 
 Defined results: a null page text is empty and has no lines; a page without a host keeps
 its lines; repeated pages count as often as they occur; a line repeated on a page counts
@@ -23,6 +23,7 @@ from fieldsift.llm.license_scan import LOWER, UPPER
 
 RATIO = 0.3
 LEAST_PAGES = 3
+SALTS = 32
 _HIDDEN = r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->"
 _BLOCKS = (
     r"(?i)</?(address|article|aside|blockquote|body|br|div|dd|dl|dt|footer|form|h[1-6]|head|"
@@ -78,7 +79,12 @@ def cleaned(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAG
         "key", F.coalesce("host", F.concat(F.lit("\n"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
         )
     )
-    met = keyed.join(lists.withColumnRenamed("host", "key"), "key", "left")
+    # A host's list is short; copies of it spread the pages of a hot host over tasks.
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int"))
+    copies = lists.withColumnRenamed("host", "key").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    met = salted.join(copies, ["key", "salt"], "left")
     kept = F.when(
         F.col("hashes").isNull(), F.col("lines")
     ).otherwise(F.filter("lines", lambda s: ~F.array_contains("hashes", F.xxhash64(s))))
