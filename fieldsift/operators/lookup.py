@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 1
+DEFAULT_SALTS = 4
 
 
 def lookup(
@@ -17,7 +17,7 @@ def lookup(
     spread_by: Column,
     salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
-    """Left join to a dimension whose key is unique.
+    """Left join to a dimension; its keys must be unique, a repeated one repeats documents.
 
     No broadcast is forced: Spark broadcasts the dimension when its size is below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.  In the shuffled
@@ -39,8 +39,8 @@ def lookup(
 
 
 def only_row(dimension: DataFrame, value: Column) -> Column:
-    """One dimension row as a scalar subquery, null if there is none.
+    """The one dimension row as a scalar subquery, null if there is none.
 
-    The aggregate bounds it to one value, so no join is needed to attach it.
+    No join is needed to attach it.  A second row fails the query: none is picked.
     """
-    return dimension.agg(F.any_value(value).alias("value")).scalar()
+    return dimension.select(value.alias("value")).scalar()

@@ -59,6 +59,9 @@ def _string_error(record: Column, name: str, required: bool, nullable: bool) ->
     return F.array(let(_kind(_value(record, f"$.{name}")), error))
 
 
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
 def _list_errors(record: Column, name: str) -> Column:
     items = F.transform(
         _value(record, f"$.{name}", "array<variant>"),
@@ -108,15 +111,33 @@ def _parsing(content: str, kind: str) -> tuple[dict[str, Column], ...]:
     """Columns that turn a JSON text into a VARIANT record and its errors."""
     fields, record = FIELDS[kind], F.col("_record")
     return (
-        {"_record": F.try_parse_json(F.try_validate_utf8(F.col(content)))},
+        {"_record": parse_one_value(F.try_validate_utf8(F.col(content)))},
         {"_is_object": F.coalesce(F.startswith(_kind(record), F.lit("OBJECT")), F.lit(False))},
         {"_errors": F.when(F.col("_is_object"), field_errors(record, fields))},
     )
 
 
+def parse_one_value(content: Column) -> Column:
+    """The VARIANT of a text that is one JSON value and nothing else, else null.
+
+    The parser stops behind the first value, so a text with more behind it, or with
+    brackets of its own, has to be JSON within an array and within an object as well.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), content, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), content, F.lit("}")))
+    return F.when(in_array.isNotNull() & in_object.isNotNull(), F.try_parse_json(content))
+
+
 def _parsed(files: DataFrame, content: str, kind: str) -> DataFrame:
-    for columns in _parsing(content, kind):
-        files = files.withColumns(columns)
+    """Parse with the last of repeated keys, whatever the session's setting."""
+    conf = files.sparkSession.conf
+    before = conf.get(REPEATED_KEYS)
+    conf.set(REPEATED_KEYS, "true")  # read when the expressions are analysed
+    try:
+        for columns in _parsing(content, kind):
+            files = files.withColumns(columns)
+    finally:
+        conf.set(REPEATED_KEYS, before)
     return files
 
 

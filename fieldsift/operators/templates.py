@@ -52,7 +52,7 @@ def render_values() -> Column:
 
 
 def template_missing_error(path: Column) -> Column:
-    return F.concat(F.lit("Template not found: "), path)
+    return F.concat(F.lit("Template not found: "), F.coalesce(path, F.lit("")))
 
 
 def attach_templates(

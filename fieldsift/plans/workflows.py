@@ -113,6 +113,7 @@ def generate_approvals(
     source_path: str = "source_path",
     explicit_context: str | None = None,
     template_path: str = "template_path",
+    default_template: str | None = None,
     explicit_output: str | None = None,
     working_folder: str = "",
     min_chars: int = DEFAULT_MIN_CHARS,
@@ -121,7 +122,8 @@ def generate_approvals(
     """Extraction, context resolution and template filling for each document.
 
     The first failing check decides the status: no context anywhere, no text, no
-    material type, an absent or invalid context, a missing template.
+    material type, an absent or invalid context, a missing template.  A document that names
+    no template gets ``default_template``.
     """
     keep = tuple(c for c in (explicit_context, template_path, explicit_output) if c)
     extracted = extract_fields(
@@ -130,6 +132,9 @@ def generate_approvals(
     resolved = resolve_contexts(
         extracted, contexts, explicit_path=explicit_context, working_folder=working_folder
     )
+    if default_template is not None:
+        named = F.coalesce(F.col(template_path), F.lit(default_template))
+        resolved = resolved.withColumn(template_path, named)
     complete = attach_templates(resolved, templates, template_path=template_path)
 
     parsed, found = F.col("status"), F.col("context_status")
@@ -180,7 +185,8 @@ def batch_documents(
 ) -> DataFrame:
     """One item per document: ``pdf, status, output, error, reason, rendered``.
 
-    ``context`` is one checked row of ``read_contexts`` (see ``require_context``).
+    ``context`` is the one row of ``read_contexts`` for the batch; ``require_context``
+    stops the batch unless there is exactly one and it is valid.
     Without a context or a template every document is skipped, and as that is known
     up front no text is read.
     """
@@ -192,7 +198,7 @@ def batch_documents(
         )
     extracted = attach_context(
         extract_fields(docs, text=text, source_path=source_path, min_chars=min_chars, vocab=vocab),
-        context,
+        require_context(context),
     )
     wanted = split_templates(templates).where(F.col("template_path") == template_path)
     complete = extracted.withColumn("template", only_row(wanted, F.col("template")))
@@ -222,11 +228,14 @@ class ContextNotUsable(ValueError):
 def require_context(context: DataFrame) -> DataFrame:
     """Stop a batch before any document when its only context is not usable.
 
-    Reads the status of a single record.
+    Reads the status of two records at most.
     """
-    row = context.select("context_status", "context_error").head()
-    if row is None:
+    rows = context.select("context_status", "context_error").take(2)
+    if not rows:
         raise ContextNotUsable("Context file not found")
+    if len(rows) > 1:
+        raise ContextNotUsable("More than one context")
+    row = rows[0]
     if row["context_status"] != schemas.OK:
         raise ContextNotUsable(row["context_error"])
     return context

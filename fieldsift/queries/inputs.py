@@ -27,7 +27,7 @@ def _sql_text(template: str) -> str:
     for chunk in template.split("{"):
         name, closed, rest = chunk.partition("}")
         if closed:
-            parts.append(f"CAST({name} AS VARCHAR(100))")
+            parts.append(f"CAST({name} AS STRING)")
             chunk = rest
         if chunk:
             parts.append("'" + chunk + "'")
@@ -106,44 +106,46 @@ SHEET_FIXED_SQL = (
 )
 # Folder of the sheet, with and without a suffix on the file.
 SHEET_PATH_SQL = (
-    "concat('src', CAST(p_partkey % 23 AS VARCHAR(20)), '/sheet-', "
-    "CAST(p_partkey AS VARCHAR(20)), CASE WHEN p_partkey % 7 = 0 THEN '' "
+    "concat('src', CAST(p_partkey % 23 AS STRING), '/sheet-', "
+    "CAST(p_partkey AS STRING), CASE WHEN p_partkey % 7 = 0 THEN '' "
     "WHEN p_partkey % 7 = 1 THEN '.v2.PDF' ELSE '.pdf' END)"
 )
 SHEET_EXPLICIT_SQL = (
     "CASE WHEN p_partkey % 5 = 0 THEN concat('shared/', "
-    "CAST(p_partkey % 1900 AS VARCHAR(20)), '.json') END"
+    "CAST(p_partkey % 1900 AS STRING), '.json') END"
 )
 SHEET_TEMPLATE_SQL = (
-    "concat('templates/NATION_', CAST(p_partkey % 25 AS VARCHAR(20)), '.txt')"
+    "concat('templates/NATION_', CAST(p_partkey % 25 AS STRING), '.txt')"
 )
 SHEET_OUTPUT_SQL = (
     "CASE WHEN p_partkey % 6 = 0 THEN concat('custom/', "
-    "CAST(p_partkey AS VARCHAR(20)), '.docx') END"
+    "CAST(p_partkey AS STRING), '.docx') END"
 )
-DOCUMENT_PATH_SQL = "concat(source, '/doc-', CAST(doc_id AS VARCHAR(20)), '.pdf')"
+DOCUMENT_PATH_SQL = "concat(source, '/doc-', CAST(doc_id AS STRING), '.pdf')"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, source_path, text, lang, source`` of every document."""
-    return spread_if_few(load(spark, sf_dir, "documents")).selectExpr(
+    return spread_if_set(load(spark, sf_dir, "documents")).selectExpr(
         "doc_id", f"{DOCUMENT_PATH_SQL} AS source_path", "text", "lang", "source"
     )
 
 
-def spread_if_few(rows: DataFrame) -> DataFrame:
-    """More partitions for a table that gives fewer scan tasks than there are cores.
+PARTITIONS_SETTING = "fieldsift.inputPartitions"
 
-    The given tables are single files with one row group, which would leave all the
-    work to one task; a table with enough splits is scanned as it is.
+
+def spread_if_set(rows: DataFrame) -> DataFrame:
+    """Rows dealt to as many partitions as the session asks for; off by default.
+
+    For a benchmark over single files with one row group, which one task would read.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return spread(rows, 2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+    partitions = rows.sparkSession.conf.get(PARTITIONS_SETTING, None)
+    return spread(rows, int(partitions)) if partitions else rows
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sheet_id, source_path, text, explicit_context, template_path, explicit_output``."""
-    return spread_if_few(load(spark, sf_dir, "part")).selectExpr(
+    return spread_if_set(load(spark, sf_dir, "part")).selectExpr(
         "p_partkey AS sheet_id",
         f"{SHEET_PATH_SQL} AS source_path",
         f"{SHEET_TEXT_SQL} AS text",
@@ -172,7 +174,7 @@ def _json_fields(who: str, key: str, without: tuple[str, ...] = (), **changed: s
     fields.update(changed)
     body = ", ".join(f'"{k}": {v}' for k, v in fields.items() if k not in without)
     text = "concat('{" + body.replace("{who}", f"', {who}, '").replace(
-        "{key}", f"', CAST({key} AS VARCHAR(20)), '"
+        "{key}", f"', CAST({key} AS STRING), '"
     ) + "}')"
     return text
 
@@ -198,18 +200,18 @@ def context_json_sql(who: str, key: str) -> str:
 
 
 SUPPLIER_CONTEXT_PATH_SQL = (
-    "concat('src', CAST(s_suppkey AS VARCHAR(20)), CASE s_suppkey % 13 WHEN 10 THEN "
+    "concat('src', CAST(s_suppkey AS STRING), CASE s_suppkey % 13 WHEN 10 THEN "
     "'/context.YAML' WHEN 11 THEN '/context.txt' WHEN 12 THEN '/context' "
     "ELSE '/context.json' END)"
 )
-CUSTOMER_CONTEXT_PATH_SQL = "concat('shared/', CAST(c_custkey AS VARCHAR(20)), '.json')"
+CUSTOMER_CONTEXT_PATH_SQL = "concat('shared/', CAST(c_custkey AS STRING), '.json')"
 DEFAULT_CONTEXT_KEY = 5
 
 
 def context_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content``: a context per supplier folder, per customer, and the default."""
     suppliers = load(spark, sf_dir, "supplier")
-    customers = spread_if_few(load(spark, sf_dir, "customer"))
+    customers = spread_if_set(load(spark, sf_dir, "customer"))
     content = context_json_sql("s_name", "s_suppkey")
     nearby = suppliers.selectExpr(
         f"{SUPPLIER_CONTEXT_PATH_SQL} AS path", f"{content} AS content"
@@ -247,16 +249,16 @@ MATERIAL_JSON_CASES = (
 MATERIAL_JSON_SQL = (
     "CASE p_partkey % 9 "
     + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(MATERIAL_JSON_CASES))
-    + " ELSE concat('{\"source_path\": \"in/', CAST(p_partkey AS VARCHAR(20)), "
+    + " ELSE concat('{\"source_path\": \"in/', CAST(p_partkey AS STRING), "
     "'.pdf\", \"raw_text\": \"', p_name, '\", \"material_type\": \"', p_name, ' ', p_type, "
     "'\", \"description\": \"opis ', p_brand, '\"}') END"
 )
-MATERIAL_FILE_SQL = "concat('in/', CAST(p_partkey AS VARCHAR(20)), '.json')"
+MATERIAL_FILE_SQL = "concat('in/', CAST(p_partkey AS STRING), '.json')"
 
 
 def material_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content, context_path``: a parsed material per part, some defective."""
-    return spread_if_few(load(spark, sf_dir, "part")).selectExpr(
+    return spread_if_set(load(spark, sf_dir, "part")).selectExpr(
         f"{MATERIAL_FILE_SQL} AS path",
         f"{MATERIAL_JSON_SQL} AS content",
     )

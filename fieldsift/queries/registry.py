@@ -866,7 +866,7 @@ def c2_context_validation(spark, sf_dir):
 )
 def c2_event_props(spark, sf_dir):
     fields = {"k": ("string", True), "v": ("string", True)}
-    events = inputs.spread_if_few(inputs.load(spark, sf_dir, "events"))
+    events = inputs.spread_if_set(inputs.load(spark, sf_dir, "events"))
     return events.select(
         "event_id",
         records.validation_message(
@@ -998,7 +998,7 @@ _CHOSEN = (
     f"THEN {O.list_of('c.json', 'attachments')} ELSE {O.list_of('m.content', 'attachments')} END"
 )
 # A material and the context of the folder its number falls into.
-_MATERIAL_CONTEXT_SQL = "concat('src', CAST(p_partkey % 11 AS VARCHAR(20)), '/context.json')"
+_MATERIAL_CONTEXT_SQL = "concat('src', CAST(p_partkey % 11 AS STRING), '/context.json')"
 _PAIRED = (
     f"{_CONTEXTS}, {_MATERIALS.removeprefix('WITH ')}, paired AS (SELECT m.path, m.content, "
     f"m.status, m.error, concat('src', CAST(m.k % 11 AS VARCHAR), '/context.json') AS wanted, "
@@ -1011,7 +1011,7 @@ _PAIRED = (
 
 
 def _paired(spark, sf_dir):
-    files = inputs.spread_if_few(inputs.load(spark, sf_dir, "part")).selectExpr(
+    files = inputs.spread_if_set(inputs.load(spark, sf_dir, "part")).selectExpr(
         f"{inputs.MATERIAL_FILE_SQL} AS path",
         f"{inputs.MATERIAL_JSON_SQL} AS content",
         f"{_MATERIAL_CONTEXT_SQL} AS context_path",

@@ -26,8 +26,12 @@ def build_session(app_name: str = "fieldsift", master: str | None = None) -> Spa
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names it on a cluster; only where it is unset (tests,
-    local runs) a local temporary folder is used.
+    ``spark.checkpoint.dir`` names it.  Only a session on one machine may leave it unset
+    and gets a local temporary folder; on a cluster executors would not see each other's.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldsift-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="fieldsift-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

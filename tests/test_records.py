@@ -61,6 +61,28 @@ def test_read_contexts(spark, path, content, status, error):
     assert (row.context is not None) == (status == "ok")
 
 
+@pytest.mark.parametrize(
+    "content",
+    [
+        json.dumps(COMPLETE) + " x",
+        json.dumps(COMPLETE) * 2,
+        json.dumps(COMPLETE) + "}",
+        json.dumps(COMPLETE) + "]",
+        json.dumps(COMPLETE) + ", 1",
+        "1, " + json.dumps(COMPLETE),
+    ],
+)
+def test_a_context_file_is_one_json_value(spark, content):
+    row = contexts(spark, [("c.json", content)]).head()
+    assert row.context_status == "context_error" and "Invalid JSON" in row.context_error
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    twice = json.dumps(COMPLETE)[:-1] + ', "investor_name": "Last"}'
+    row = contexts(spark, [("c.json", twice)]).head()
+    assert row.context_status == "ok" and row.context.investor_name == "Last"
+
+
 def test_read_materials(spark):
     files = [
         ("ok", '{"material_type": "M", "description": "D", "attachments": ["Spec A"]}'),

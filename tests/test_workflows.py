@@ -13,6 +13,7 @@ from fieldsift.plans.workflows import (
     parse_documents,
     require_context,
 )
+from fieldsift.session import run_folder
 from fieldsift.sources import sinks
 from fieldsift.sources.documents import read_json_files, read_text_folder
 
@@ -118,6 +119,44 @@ def test_batch_stops_on_an_unusable_context(spark):
         require_context(contexts(spark, [("c.json", "{")]))
 
 
+@pytest.mark.parametrize(
+    "files", [[], [("a.json", "{")], [(p, json.dumps(COMPLETE)) for p in ("a.json", "b.json")]]
+)
+def test_batch_needs_exactly_one_valid_context(spark, docs, templates, files):
+    found = contexts(spark, files or [("a.json", "{}")])
+    with pytest.raises(ContextNotUsable):
+        batch_documents(
+            docs,
+            "out",
+            context=found if files else found.limit(0),
+            templates=templates,
+            template_path="t.txt",
+        )
+
+
+def test_two_templates_of_one_path_are_not_picked_from(spark, docs, templates):
+    context = contexts(spark, [("c.json", json.dumps(COMPLETE))])
+    items = batch_documents(
+        docs, "out", context=context, templates=templates.union(templates), template_path="t.txt"
+    )
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        items.collect()
+
+
+def test_work_folder_is_shared_on_a_cluster():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        run_folder(Session(), "x")
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///shared"
+    assert run_folder(Session(), "x").startswith("hdfs:///shared/x-")
+
+
 def test_shared_outputs(spark):
     items = table(spark, [("o/a",), ("o/b",), ("o/a",), (None,), (None,)], "output")
     assert [tuple(r) for r in shared_outputs(items).collect()] == [("o/a", 2)]
