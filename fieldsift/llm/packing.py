@@ -26,6 +26,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +51,16 @@ _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in
 _MARKS = ".,;:!?"
 
 
-def single_spaced(text: str) -> bool:
-    """Whether all white space is one space or line break between two other characters."""
-    breaks = text.count(" ") + text.count("\n")
-    return len(text.split()) == breaks + 1 and not any(c in text for c in _OTHER_SPACES)
+def single_spaced(text: str) -> list[str] | None:
+    """The words, each behind a line break with the break before it; the first one too.
+
+    None unless all white space is one space or line break between two other characters.
+    """
+    if any(c in text for c in _OTHER_SPACES):
+        return None
+    parts = f"\n{text}".replace("\n", " \n").split(" ")
+    del parts[0]
+    return None if "" in parts or "\n" in parts else parts
 
 
 def _letters_of_bytes() -> dict[int, str]:
@@ -64,6 +71,7 @@ def _letters_of_bytes() -> dict[int, str]:
 
 
 _LETTERS = _letters_of_bytes()
+_SPACE = _LETTERS[32]
 
 
 class WordTokens:
@@ -83,11 +91,16 @@ class WordTokens:
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         [self.line_break] = self._encode("\n")
+        self.model = self.tokenizer.model
 
     def _encode(self, text: str) -> np.ndarray:
         [found] = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, "<u4")
 
+    def _letters(self, bare: str) -> str:
+        """The word as the model reads it, a letter for each byte."""
+        return bare.encode().decode("latin-1").translate(_LETTERS)
+
     def _learn(self, words: list[str]) -> None:
         """Ids of `` word`` or, for a word behind a line break, of the break and the word.
 
@@ -96,26 +109,27 @@ class WordTokens:
         there.
         """
         mark = np.array([self.line_break], "<u4").tobytes()
-        odd = []
+        odd, held, tokens, letters = [], self.words, self.model.tokenize, self._letters
         for word in words:
+            base = word.rstrip(_MARKS)
             behind = word[0] == "\n"
-            body = word[1:] if behind else word
-            bare = body.rstrip(_MARKS)
-            if not bare.isalpha() or max(bare) > "\u024f":
+            bare = base[1:] if behind else base
+            if not bare.isalpha() or not (bare.isascii() or max(bare) <= "\u024f"):
                 odd.append(word)
                 continue
-            base = "\n" + bare if behind else bare
-            own = self.words.get(base)
+            own = held.get(base)
             if own is None:
-                spelled = (bare if behind else " " + bare).encode().decode("latin-1")
-                found = [t.id for t in self.tokenizer.model.tokenize(spelled.translate(_LETTERS))]
-                own = (mark if behind else b"") + array("I", found).tobytes()
-                self.words[base] = own
-            if len(body) > len(bare):
-                tail = body[len(bare) :]
+                spelled = bare if bare.isascii() else letters(bare)
+                found = tokens(spelled if behind else _SPACE + spelled)
+                own = array("I", [t.id for t in found]).tobytes()
+                if behind:
+                    own = mark + own
+                held[base] = own
+            if len(word) > len(base):
+                tail = word[len(base) :]
                 if tail not in self.tails:
                     self.tails[tail] = self._encode(tail).tobytes()
-                self.words[word] = own + self.tails[tail]
+                held[word] = own + self.tails[tail]
         for k in range(0, len(odd), 4096):
             some = odd[k : k + 4096]
             ids = self._encode("".join(w[1:] + "\n" if w[0] == "\n" else f" {w}\n" for w in some))
@@ -125,37 +139,33 @@ class WordTokens:
                 self.words[word] = mark + own if word[0] == "\n" else own
                 begin = end + 1
 
-    def _joined(self, parts: list[str]) -> bytes:
-        done = []
-        for k in range(0, len(parts), CACHED_WORDS // 2):
-            some = parts[k : k + CACHED_WORDS // 2]
-            try:
-                done.append(b"".join(map(self.words.__getitem__, some)))
-            except KeyError:
-                self._hold(set(some))
-                done.append(b"".join(map(self.words.__getitem__, some)))
-        return b"".join(done)
-
-    def _hold(self, words: set[str]) -> None:
-        missing = words.difference(self.words)
-        if len(self.words) + len(missing) > CACHED_WORDS:
-            self.words.clear()
-            missing = words
-        self._learn(list(missing))
+    def _found(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part; what the cache lacks is learned, all of it at once."""
+        found = list(map(self.words.get, parts))
+        lacking = [k for k, own in enumerate(found) if own is None]
+        if lacking:
+            missing = {parts[k] for k in lacking}
+            if len(self.words) + len(missing) > CACHED_WORDS:
+                self.words.clear()
+            self._learn(list(missing))
+            for k in lacking:
+                found[k] = self.words[parts[k]]
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [
-            f"\n{t}".replace("\n", " \n").split(" ")[1:] if single_spaced(t) else None
-            for t in texts
-        ]
-        words = set().union(*(p for p in split if p))
-        if len(words) <= CACHED_WORDS // 2:
-            self._hold(words)
-        # The break put before the first word is taken off again.
-        return [
-            self._encode(t).tobytes() if p is None else self._joined(p)[4:]
-            for t, p in zip(texts, split, strict=True)
-        ]
+        split = list(map(single_spaced, texts))
+        parts = list(chain.from_iterable(p for p in split if p))
+        step = CACHED_WORDS // 2
+        found = [x for k in range(0, len(parts), step) for x in self._found(parts[k : k + step])]
+        done, begin = [], 0
+        for text, own in zip(texts, split, strict=True):
+            if own is None:
+                done.append(self._encode(text).tobytes())
+            else:
+                # The break put before the first word is taken off again.
+                done.append(b"".join(found[begin : begin + len(own)])[4:])
+                begin += len(own)
+        return done
 
 
 _loaded: dict[str, WordTokens] = {}
