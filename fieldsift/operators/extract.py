@@ -35,6 +35,10 @@ from fieldsift.operators.gate import DEFAULT_MIN_CHARS, text_gate
 from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
 
 RAW_TEXT_CHARS = 280
+EXTRACTED = (
+    "status", "error", "n_chars", "raw_text", "material_type", "description", "attachments"
+)
+DIAGNOSED = ("events", "warnings")
 
 
 def line_rows(normalized: Column, lowered: Column, vocab: Vocabulary) -> Column:
@@ -166,10 +170,13 @@ def missing_fields_error(missing: Column) -> Column:
 
 
 @lru_cache(maxsize=16)
-def cascade(vocab: Vocabulary = DEFAULT_VOCABULARY) -> tuple[dict[str, Column], ...]:
+def cascade(
+    vocab: Vocabulary = DEFAULT_VOCABULARY, described: bool = True
+) -> tuple[dict[str, Column], ...]:
     """The columns each step adds to gated documents, in order.
 
     The expressions only name columns, so one set per vocabulary serves every plan.
+    Without ``described`` lines are only looked at where the material type needs them.
     """
     raw, low = F.col("raw_text"), F.col("_low")
     label_material, section_material = F.col("_label_material"), F.col("_section_material")
@@ -178,16 +185,29 @@ def cascade(vocab: Vocabulary = DEFAULT_VOCABULARY) -> tuple[dict[str, Column],
     passed, has_material = F.col("gate_passed"), material.isNotNull()
     needs_material = label_material.isNull() & section_material.isNull()
     needs_description = label_text.isNull() & section_text.isNull()
-    return (
-        {"raw_text": F.when(passed, normalize_text(F.col("gate_text"), vocab))},
-        {"_low": F.lower(raw)},
-        {
-            "_label_material": labeled_value(raw, vocab.material_labels),
+    needs_rows = needs_material | needs_description if described else needs_material
+    labels = {
+        "_label_material": labeled_value(raw, vocab.material_labels),
+        "_section_material": section_title(raw, low, vocab),
+    }
+    verdict = {
+        "status": F.when(~passed, F.lit(schemas.NON_TEXT))
+        .when(has_material, F.lit(schemas.OK))
+        .otherwise(F.lit(schemas.PARSE_ERROR)),
+        "error": F.when(~passed, F.col("gate_error")).otherwise(
+            missing_fields_error(missing_fields(material))
+        ),
+    }
+    if described:
+        labels |= {
             "_label_description": labeled_value(raw, vocab.description_labels),
-            "_section_material": section_title(raw, low, vocab),
             "_section_description": section_body(raw, low, vocab),
-        },
-        {"_rows": F.when(needs_material | needs_description, line_rows(raw, low, vocab))},
+        }
+    until_material = (
+        {"raw_text": F.when(passed, normalize_text(F.col("gate_text"), vocab))},
+        {"_low": F.lower(raw)},
+        labels,
+        {"_rows": F.when(needs_rows, line_rows(raw, low, vocab))},
         {
             "_candidates": F.when(
                 needs_material, F.filter(rows, lambda row: scoring.candidate_row(row, vocab))
@@ -200,29 +220,21 @@ def cascade(vocab: Vocabulary = DEFAULT_VOCABULARY) -> tuple[dict[str, Column],
                 label_material, section_material, declared, F.col("_best")["line"]
             )
         },
+    )
+    if not described:
+        return (*until_material, verdict)
+    description = F.coalesce(
+        label_text, section_text, F.col("_ranked_description"), raw_text_description(raw, vocab)
+    )
+    return (
+        *until_material,
         {
             "_scored": F.when(
                 has_material & needs_description, score_descriptions(rows, material, vocab)
             )
         },
         {"_ranked_description": ranked_description(F.col("_scored"))},
-        {
-            "description": F.when(
-                has_material,
-                F.coalesce(
-                    label_text,
-                    section_text,
-                    F.col("_ranked_description"),
-                    raw_text_description(raw, vocab),
-                ),
-            ),
-            "status": F.when(~passed, F.lit(schemas.NON_TEXT))
-            .when(has_material, F.lit(schemas.OK))
-            .otherwise(F.lit(schemas.PARSE_ERROR)),
-            "error": F.when(~passed, F.col("gate_error")).otherwise(
-                missing_fields_error(missing_fields(material))
-            ),
-        },
+        {"description": F.when(has_material, description), **verdict},
     )
 
 
@@ -232,10 +244,14 @@ def extraction_steps(
     text: str = "text",
     min_chars: int = DEFAULT_MIN_CHARS,
     vocab: Vocabulary = DEFAULT_VOCABULARY,
+    described: bool = True,
 ) -> DataFrame:
-    """The cascade with its intermediate results in columns prefixed by ``_``."""
+    """The cascade with its intermediate results in columns prefixed by ``_``.
+
+    Without ``described`` it ends with the status.
+    """
     rows = text_gate(docs, text=text, min_chars=min_chars)
-    for columns in cascade(vocab):
+    for columns in cascade(vocab, described):
         rows = rows.withColumns(columns)
     return rows
 
@@ -271,24 +287,32 @@ def extract_fields(
     vocab: Vocabulary = DEFAULT_VOCABULARY,
     diagnostics: bool = False,
     keep: tuple[str, ...] = (),
+    columns: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """One output row per document with status, error and the fields.
 
     ``keep`` names further input columns to carry along.  With ``diagnostics`` the
-    row also holds ``events`` and ``warnings``.
+    row also holds ``events`` and ``warnings``.  ``columns`` picks from all of them, and
+    what it leaves out is not computed.
     """
-    steps = extraction_steps(docs, text=text, min_chars=min_chars, vocab=vocab)
-    columns = [
-        *[F.col(k) for k in keep],
+    if columns is None:
+        columns = (*EXTRACTED, *DIAGNOSED) if diagnostics else EXTRACTED
+    steps = extraction_steps(
+        docs,
+        text=text,
+        min_chars=min_chars,
+        vocab=vocab,
+        described="description" in columns or "events" in columns,
+    )
+    built = {
+        "n_chars": lambda: F.col("gate_chars"),
+        "attachments": lambda: F.array().cast("array<string>"),
+        "events": event_list,
+        "warnings": warning_list,
+    }
+    rows = steps.select(
+        *keep,
         F.col(source_path).alias("source_path"),
-        F.col("status"),
-        F.col("error"),
-        F.col("gate_chars").alias("n_chars"),
-        F.col("raw_text"),
-        F.col("material_type"),
-        F.col("description"),
-        F.array().cast("array<string>").alias("attachments"),
-    ]
-    if diagnostics:
-        columns += [event_list().alias("events"), warning_list().alias("warnings")]
-    return evaluate_once(steps.select(*columns), *keep, "source_path")
+        *[(built[name]() if name in built else F.col(name)).alias(name) for name in columns],
+    )
+    return evaluate_once(rows, *keep, "source_path")

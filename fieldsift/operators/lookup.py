@@ -24,14 +24,16 @@ def lookup(
     case one key may hold a large part of all documents; adaptive execution then
     splits the documents of that key over several tasks.  Where that is switched off,
     ``salts`` does the same by hand: documents are spread over that many copies of
-    each dimension row.
+    each dimension row.  Rows without a key match nothing and are spread over all tasks.
     """
     left = docs.withColumns({"_lookup_key": key})
     right = dimension.withColumnRenamed(dimension_key, "_dimension_key")
     on = left["_lookup_key"] == right["_dimension_key"]
     if salts > 1:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        spot = F.xxhash64(spread_by)
+        dealt = F.when(F.col("_lookup_key").isNotNull(), F.pmod(spot, F.lit(salts))).otherwise(spot)
+        left = left.withColumn("_salt", dealt)
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
         right = right.withColumn("_copy", copies)
         on = on & (left["_salt"] == right["_copy"])
     joined = left.join(right, on, "left")

@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGES_PER_BLOCK = 256
-
-
-def _joined(pieces: Column) -> Column:
-    """Texts of ``(position, text)`` structs in order, joined by LF."""
-    return F.array_join(F.transform(F.array_sort(pieces), lambda p: p["text"]), "\n")
-
 
 def assemble_pages(
     pages: DataFrame,
@@ -19,26 +12,17 @@ def assemble_pages(
     document: str = "source_path",
     page: str = "page_no",
     text: str = "text",
-    block: int = PAGES_PER_BLOCK,
 ) -> DataFrame:
     """One row per document, its pages joined by LF in page order.
 
-    Pages are first joined in blocks of ``block`` consecutive numbers, so the pages
-    of one long document are sorted and joined by many tasks; the second step only
-    strings the finished blocks together.  A missing page text is an empty page.
+    Texts cross the network once.  A document's pages meet in one task, as its text is
+    one value there anyway.  A missing page text is an empty page.
     """
     piece = F.struct(
         F.col(page).cast("long").alias("position"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    blocks = (
-        pages.groupBy(F.col(document), F.floor(F.col(page) / F.lit(block)).alias("_block"))
-        .agg(F.collect_list(piece).alias("_pieces"))
-        .select(document, "_block", _joined(F.col("_pieces")).alias("_text"))
-    )
-    whole = F.struct(F.col("_block").alias("position"), F.col("_text").alias("text"))
-    return (
-        blocks.groupBy(document)
-        .agg(F.collect_list(whole).alias("_blocks"))
-        .select(document, _joined(F.col("_blocks")).alias("text"))
+    grouped = pages.groupBy(document).agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    return grouped.select(
+        document, F.array_join(F.col("_pieces")["text"], "\n").alias("text")
     )

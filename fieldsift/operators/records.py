@@ -199,8 +199,15 @@ def _material_columns(path: str) -> tuple[Column, ...]:
 
 
 def read_materials(
-    files: DataFrame, *, path: str = "path", content: str = "content"
+    files: DataFrame,
+    *,
+    path: str = "path",
+    content: str = "content",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Parsed materials from JSON, to ``path, status, error, material``."""
-    rows = _parsed(files, content, "material").select(*_material_columns(path))
-    return evaluate_once(rows, "path")
+    """Parsed materials from JSON, to ``path, status, error, material``.
+
+    ``keep`` names further input columns to carry along.
+    """
+    rows = _parsed(files, content, "material").select(*keep, *_material_columns(path))
+    return evaluate_once(rows, *keep, "path")

@@ -20,7 +20,7 @@ from fieldsift.operators.approval import (
 from fieldsift.operators.diagnostics import diagnostics_text
 from fieldsift.operators.extract import extract_fields
 from fieldsift.operators.gate import DEFAULT_MIN_CHARS, scan_diagnosis
-from fieldsift.operators.lookup import lookup, only_row
+from fieldsift.operators.lookup import DEFAULT_SALTS, lookup, only_row
 from fieldsift.operators.reports import batch_item, exit_code
 from fieldsift.operators.templates import (
     attach_templates,
@@ -31,6 +31,10 @@ from fieldsift.operators.templates import (
 )
 from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
 
+#: What decides about a document, and what a record shows of it.
+JUDGED = ("status", "error")
+FIELDS = ("material_type", "description", "attachments")
+
 
 def parse_documents(
     docs: DataFrame,
@@ -62,18 +66,32 @@ def parse_documents(
 
 
 def build_approval_records(
-    materials: DataFrame, contexts: DataFrame, *, context_path: str = "context_path"
+    materials: DataFrame,
+    contexts: DataFrame,
+    *,
+    context_path: str = "context_path",
+    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Parsed materials joined to their contexts; ``materials`` from ``read_materials``.
 
-    The material is checked before the context; every failure ends with code 1.
+    The material is checked before the context; every failure ends with code 1.  Only the
+    fields of a material that a record shows go into the join, so no text is moved.
     """
+    shown = [F.col(f"material.{n}") for n in ("material_type", "description", "attachments")]
+    materials = materials.withColumn(
+        "material", F.when(F.col("material").isNotNull(), F.struct(*shown))
+    )
     found = contexts.select(
         "context_path", F.struct("context_status", "context_error", "context").alias("_found")
     )
     wanted = F.col(context_path)
     joined = lookup(
-        materials, found, key=wanted, dimension_key="context_path", spread_by=F.col("path")
+        materials,
+        found,
+        key=wanted,
+        dimension_key="context_path",
+        spread_by=F.col("path"),
+        salts=salts,
     )
     context_status = F.coalesce(F.col("_found.context_status"), F.lit(schemas.CONTEXT_ERROR))
     context_error = F.coalesce(
@@ -118,24 +136,34 @@ def generate_approvals(
     working_folder: str = "",
     min_chars: int = DEFAULT_MIN_CHARS,
     vocab: Vocabulary = DEFAULT_VOCABULARY,
+    salts: int = DEFAULT_SALTS,
+    render: bool = True,
 ) -> DataFrame:
     """Extraction, context resolution and template filling for each document.
 
     The first failing check decides the status: no context anywhere, no text, no
     material type, an absent or invalid context, a missing template.  A document that names
-    no template gets ``default_template``.
+    no template gets ``default_template``.  Without ``render`` the rows end with
+    ``context_path``, and nothing is computed for the records and texts.
     """
     keep = tuple(c for c in (explicit_context, template_path, explicit_output) if c)
     extracted = extract_fields(
-        docs, text=text, source_path=source_path, min_chars=min_chars, vocab=vocab, keep=keep
-    ).drop("raw_text", "n_chars")
+        docs, text=text, source_path=source_path, min_chars=min_chars, vocab=vocab, keep=keep,
+        columns=JUDGED if not render else (*JUDGED, *FIELDS),
+    )
     resolved = resolve_contexts(
-        extracted, contexts, explicit_path=explicit_context, working_folder=working_folder
+        extracted,
+        contexts,
+        explicit_path=explicit_context,
+        working_folder=working_folder,
+        salts=salts,
     )
     if default_template is not None:
         named = F.coalesce(F.col(template_path), F.lit(default_template))
         resolved = resolved.withColumn(template_path, named)
-    complete = attach_templates(resolved, templates, template_path=template_path)
+    complete = attach_templates(
+        resolved, templates, template_path=template_path, salts=salts
+    )
 
     parsed, found = F.col("status"), F.col("context_status")
     nowhere = F.col("context_path").isNull()
@@ -156,13 +184,18 @@ def generate_approvals(
     )
     target = output_path(path, F.col(explicit_output) if explicit_output else None)
     judged = complete.withColumns({"_status": status, "_error": error})
-    rows = judged.select(
+    outcome = (
         path,
         F.col("_status").alias("status"),
         F.col("_error").alias("error"),
         exit_code(F.col("_status")).alias("exit_code"),
         F.when(F.col("_status") == schemas.OK, target).alias("output"),
-        "context_path",
+        F.col("context_path"),
+    )
+    if not render:
+        return judged.select(*outcome)
+    rows = judged.select(
+        *outcome,
         F.when(F.col("_status") == schemas.OK, F.col("template")).alias("template"),
         *approval_columns("context"),
     )
@@ -182,22 +215,28 @@ def batch_documents(
     source_path: str = "source_path",
     min_chars: int = DEFAULT_MIN_CHARS,
     vocab: Vocabulary = DEFAULT_VOCABULARY,
+    render: bool = True,
 ) -> DataFrame:
     """One item per document: ``pdf, status, output, error, reason, rendered``.
 
     ``context`` is the one row of ``read_contexts`` for the batch; ``require_context``
     stops the batch unless there is exactly one and it is valid.
     Without a context or a template every document is skipped, and as that is known
-    up front no text is read.
+    up front no text is read.  Without ``render`` there is no column ``rendered``, and
+    neither descriptions nor records are computed.
     """
     if context is None or template_path is None or templates is None:
         nothing = F.lit(None).cast("string")
-        return docs.select(
+        skipped = docs.select(
             *batch_item(F.col(source_path), F.lit(schemas.SKIPPED), nothing, nothing),
             nothing.alias("rendered"),
         )
+        return skipped if render else skipped.drop("rendered")
     extracted = attach_context(
-        extract_fields(docs, text=text, source_path=source_path, min_chars=min_chars, vocab=vocab),
+        extract_fields(
+            docs, text=text, source_path=source_path, min_chars=min_chars, vocab=vocab,
+            columns=JUDGED if not render else (*JUDGED, *FIELDS),
+        ),
         require_context(context),
     )
     wanted = split_templates(templates).where(F.col("template_path") == template_path)
@@ -209,10 +248,13 @@ def batch_documents(
     )
     path = F.col("source_path")
     judged = complete.withColumns({"_status": status, "_error": error})
+    item = batch_item(
+        path, F.col("_status"), batch_output_path(path, output_dir), F.col("_error")
+    )
+    if not render:
+        return judged.select(*item)
     rows = judged.select(
-        *batch_item(
-            path, F.col("_status"), batch_output_path(path, output_dir), F.col("_error")
-        ),
+        *item,
         F.when(F.col("_status") == schemas.OK, F.col("template")).alias("template"),
         *approval_columns("context"),
     )

@@ -759,9 +759,10 @@ def c5_events(spark, sf_dir):
     "FROM material",
 )
 def c6_warnings(spark, sf_dir):
-    return _diagnosed(spark, sf_dir).select(
-        "sheet_id", F.array_join("warnings", "; ").alias("warnings")
+    found = extract.extract_fields(
+        sheets(spark, sf_dir), min_chars=SHEET_CHARS, keep=("sheet_id",), columns=("warnings",)
     )
+    return found.select("sheet_id", F.array_join("warnings", "; ").alias("warnings"))
 
 
 _REPR = (
@@ -1016,9 +1017,7 @@ def _paired(spark, sf_dir):
         f"{inputs.MATERIAL_JSON_SQL} AS content",
         f"{_MATERIAL_CONTEXT_SQL} AS context_path",
     )
-    wanted = files.select(F.col("path").alias("_file"), "context_path")
-    parsed = records.read_materials(files)
-    return parsed.join(wanted, F.col("path") == F.col("_file")).drop("_file")
+    return records.read_materials(files, keep=("context_path",))
 
 
 def _value_sql(name: str) -> str:
@@ -1110,7 +1109,7 @@ generated AS (
   LEFT JOIN t ON t.template_path = x.template_path)"""
 
 
-def _generated(spark, sf_dir):
+def _generated(spark, sf_dir, render=True):
     return workflows.generate_approvals(
         sheets(spark, sf_dir),
         contexts(spark, sf_dir),
@@ -1118,6 +1117,7 @@ def _generated(spark, sf_dir):
         explicit_context="explicit_context",
         explicit_output="explicit_output",
         min_chars=SHEET_CHARS,
+        render=render,
     )
 
 
@@ -1139,9 +1139,7 @@ def t22_template_fill(spark, sf_dir):
     f"{O.without_suffix('path')} || '.docx') END AS output, context_path FROM generated",
 )
 def e2_generate(spark, sf_dir):
-    return _generated(spark, sf_dir).select(
-        "source_path", "status", "error", "exit_code", "output", "context_path"
-    )
+    return _generated(spark, sf_dir, render=False)
 
 
 _BATCH_TEMPLATE = "templates/NATION_3.txt"
@@ -1158,15 +1156,16 @@ def _batch(spark, sf_dir, template=_BATCH_TEMPLATE):
     return workflows.batch_documents(
         documents(spark, sf_dir),
         "out",
-        context=workflows.require_context(one),
+        context=one,
         templates=inputs.templates(spark, sf_dir),
         template_path=template,
+        render=False,
     )
 
 
 @query("a2_batch_items", f"{_BATCH} SELECT * FROM items")
 def a2_batch_items(spark, sf_dir):
-    return _batch(spark, sf_dir).drop("rendered")
+    return _batch(spark, sf_dir)
 
 
 @query(
@@ -1236,7 +1235,7 @@ def s5_json_records(spark, sf_dir):
 )
 def s6_batch_report(spark, sf_dir):
     folder = run_folder(spark, "report")
-    sinks.write_batch_report(_batch(spark, sf_dir).drop("rendered"), folder)
+    sinks.write_batch_report(_batch(spark, sf_dir), folder)
     return spark.read.schema("processed bigint, errors bigint, skipped bigint").json(
         f"{folder}/totals"
     )

@@ -186,6 +186,6 @@ def test_fill_template_never_rescans_values(spark, template, expected):
 def test_page_assembly_in_blocks(spark):
     pages = [("d", n, None if n % 7 == 0 else f"p{n}") for n in range(1, 1000)] + [("e", 4, "x")]
     rows = spark.createDataFrame(pages, "source_path string, page_no int, text string")
-    got = {r.source_path: r.text for r in assemble_pages(rows.repartition(5), block=50).collect()}
+    got = {r.source_path: r.text for r in assemble_pages(rows.repartition(5)).collect()}
     assert got["e"] == "x"
     assert got["d"] == "\n".join("" if n % 7 == 0 else f"p{n}" for n in range(1, 1000))
