@@ -13,7 +13,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldsift.functions.text import LOWER, WORD, alternation, contains_any, let
+from fieldsift.functions.text import LOWER, WORD, alternation, contains_any, contains_one_of, let
 from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
 
 NEXT_LINE_MIN_SCORE = 9
@@ -43,8 +43,21 @@ def word_count_class(low: Column) -> Column:
     return F.regexp_count(words, F.lit(rf"[{WORD}]++"))
 
 
-def line_properties(line: Column, low: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
-    """What the scores look at, as one struct per line."""
+def line_properties(
+    line: Column,
+    low: Column,
+    vocab: Vocabulary = DEFAULT_VOCABULARY,
+    noise: Column | None = None,
+    keywords: Column | None = None,
+) -> Column:
+    """What the scores look at, as one struct per line.
+
+    ``noise`` and ``keywords`` are the words of either kind that the whole text holds.
+    """
+
+    def holds(words: tuple[str, ...], found: Column | None) -> Column:
+        return contains_any(low, words) if found is None else contains_one_of(low, found)
+
     has_lower = F.rlike(line, F.lit(f"[{LOWER}]"))
     is_upper = ~F.rlike(line, F.lit(rf"[{LOWER}\p{{Lt}}]")) & F.rlike(
         line, F.lit(r"\p{IsUppercase}")
@@ -58,8 +71,8 @@ def line_properties(line: Column, low: Column, vocab: Vocabulary = DEFAULT_VOCAB
         has_excluded_prefix(low, vocab).alias("has_prefix"),
         has_lower.alias("has_lower"),
         is_upper.alias("is_upper"),
-        contains_any(low, vocab.noise_phrases).alias("is_noise"),
-        contains_any(low, vocab.material_keywords).alias("has_keyword"),
+        holds(vocab.noise_phrases, noise).alias("is_noise"),
+        holds(vocab.material_keywords, keywords).alias("has_keyword"),
     )
 
 

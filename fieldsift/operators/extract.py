@@ -25,6 +25,7 @@ from fieldsift.functions.text import (
     has_word,
     let,
     none_if_empty,
+    present,
     split_lines,
     strip,
     strip_punct,
@@ -42,13 +43,26 @@ DIAGNOSED = ("events", "warnings")
 
 
 def line_rows(normalized: Column, lowered: Column, vocab: Vocabulary) -> Column:
-    """Properties of the meaningful lines, in document order."""
-    rows = F.zip_with(
-        split_lines(normalized),
-        split_lines(lowered),
-        lambda line, low: F.when(has_word(line), scoring.line_properties(line, low, vocab)),
+    """Properties of the meaningful lines, in document order.
+
+    The text is searched for phrases and keywords first, so a line only for those it has.
+    """
+
+    def rows(found: Column) -> Column:
+        return F.zip_with(
+            split_lines(normalized),
+            split_lines(lowered),
+            lambda line, low: F.when(
+                has_word(line),
+                scoring.line_properties(line, low, vocab, found["noise"], found["keywords"]),
+            ),
+        )
+
+    found = F.struct(
+        present(lowered, vocab.noise_phrases).alias("noise"),
+        present(lowered, vocab.material_keywords).alias("keywords"),
     )
-    return F.array_compact(rows)
+    return F.array_compact(let(found, rows))
 
 
 def best_candidate(candidates: Column) -> Column:
