@@ -391,3 +391,15 @@ def test_quality(spark, none):
     assert all(0 <= r.score <= 1 for r in quality.scored(odd, model).collect())
     assert quality.learned(table, marks.where("quality = 1"), ~held_out(4)) is None
     assert quality.scored(none, model).count() == 0 and quality.accepted(none, None).count() == 0
+
+
+def test_cached_words_give_the_ids_of_whole_texts():
+    """Random short texts with odd white space, marks and letters, with a full cache too."""
+    own, rng = packing.WordTokens(tokenizer_path()), random.Random(1)
+    letters = ["a", "b", " ", "\n", "é", ".", "!", "ą", "\t", "\u3000", "7", "the", "'s", "\r"]
+    for k in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 9)))
+        want = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert own.ids([text]) == [np.array(want, "<u4").tobytes()], text
+        if k % 500 == 0:
+            own.words.clear()
