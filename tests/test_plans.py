@@ -35,7 +35,7 @@ def test_verdicts_do_not_pay_for_descriptions(spark, name):
 
 
 @pytest.mark.parametrize("name", ["p8_approval", "c8_exit_code"])
-def test_approvals_read_materials_once_and_move_no_text(spark, no_broadcast, name):
+def test_approvals_read_materials_once_and_join_once(spark, no_broadcast, name):
     text = plan(spark, name, "executedPlan")
     assert len(re.findall(r"FileScan parquet[^\n]*part\.parquet", text)) == 1
     exchanged = [
