@@ -74,4 +74,5 @@ def by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_bits(rows: int, rows_a_bucket: int) -> int:
-    return min(16, max(4, int(np.ceil(np.log2(rows / rows_a_bucket + 1)))))
+    """How many bits name a bucket; more than 18 would leave tasks a few keys for each."""
+    return min(18, max(4, int(np.ceil(np.log2(rows / rows_a_bucket + 1)))))

@@ -111,9 +111,15 @@ def _cell(bounds: list[float], value: Column) -> Column:
 
 
 def located(
-    docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS
+    docs: DataFrame,
+    dimensions: tuple[str, ...] = DIMENSIONS,
+    bits: int = BITS,
+    row: Column | None = None,
 ) -> DataFrame:
-    """One small stored row per document: id, size, crc32, dimensions and curve index."""
+    """One small stored row per document: id, size, crc32, dimensions and curve index.
+
+    ``row`` is a number that tells the rows apart; without it they get one.
+    """
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = stored(
@@ -121,7 +127,7 @@ def located(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            F.monotonically_increasing_id().alias("row"),
+            (F.monotonically_increasing_id() if row is None else row).alias("row"),
             *[F.col(d).alias(f"d{i}") for i, d in enumerate(dimensions)],
         ),
         "shard_rows",
@@ -149,9 +155,10 @@ def sharded(
     shards: int = SHARDS,
     dimensions: tuple[str, ...] = DIMENSIONS,
     bits: int = BITS,
+    row: Column | None = None,
 ) -> DataFrame:
     """Every row with its shard and slot; the counts of shards differ by one at most."""
-    rows = located(docs, dimensions, bits)
+    rows = located(docs, dimensions, bits, row)
     total = rows.count()
     ranked = numbered(rows, "curve", ["text_crc32", "row"], parts(total, ROWS_A_SLICE, 64))
     # One row a curve index, 2 ** (bits * dimensions) at most.
@@ -170,6 +177,7 @@ def sharded(
         " AS BIGINT) AS slot",
         "CAST(NULL AS INT) AS grown_shard",
         "curve",
+        "row",
         *[f"d{i} AS dim_{d}" for i, d in enumerate(dimensions)],
     )
 
@@ -184,10 +192,35 @@ def ranges(placed: DataFrame) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write whole documents, a folder a shard, rows in the order of their slots."""
-    own = placed.select(F.col("doc_id").alias("_id"), "shard", "slot")
-    rows = docs.join(own, docs["doc_id"].cast("long") == own["_id"]).drop("_id")
-    rows.repartition(F.col("shard")).sortWithinPartitions("shard", "slot").drop(
-        "slot"
-    ).write.partitionBy("shard").parquet(path)
+def write_shards(
+    docs: DataFrame,
+    path: str,
+    shards: int = SHARDS,
+    dimensions: tuple[str, ...] = DIMENSIONS,
+    bits: int = BITS,
+) -> None:
+    """Write whole documents, a folder a shard, its files runs of the shard's slots.
+
+    Rows get a stored number first and are placed by it, so null and repeated ids lose and
+    repeat nothing.  The tasks take ranges of (shard, slot): a large shard is cut into as many
+    files as its share of the partitions.  Other columns of ``docs`` are written as they are.
+    """
+    names = docs.columns
+    whole = stored(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("document")
+        ),
+        "numbered_documents",
+    )
+    own = [F.col(f"document.`{c}`").alias(c) for c in dict.fromkeys(("doc_id", "text", *dimensions))]
+    placed = sharded(
+        whole.select(*own, F.col("row").alias("_row")), shards, dimensions, bits, F.col("_row")
+    )
+    rows = whole.join(placed.select("row", "shard", "slot"), "row").drop("row")
+    (
+        rows.repartitionByRange("shard", "slot")
+        .sortWithinPartitions("shard", "slot")
+        .select("document", "shard")
+        .write.partitionBy("shard")
+        .parquet(path)
+    )

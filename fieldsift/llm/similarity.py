@@ -13,7 +13,8 @@ behind its position and skipped in blocks: once that is too little for the overl
 needs, no later block can hold a partner.  A list longer than ``BLOCK_ROWS`` is cut, and
 each pair of its blocks is a task of its own.
 
-*Answers from answers.*  A set carries the parities of its shingles in hashed cells.  The
+*Answers from answers.*  A set carries the parities of its shingles in hashed cells, at
+most ``MOST_CELLS``, so a very long text does not carry a long row into each of its lists.  The
 number of cells in which two sets differ is at most the size of their difference, and it
 is a distance.  For a set close to one whose distances in the list are already known, only
 those partners are looked at that the triangle inequality leaves over.  And as groups are
@@ -54,6 +55,7 @@ DOCS_A_BUCKET = 64
 SEEN_BITS_A_BUCKET = 1 << 15
 SEEN_BITS = 1 << 27
 FETCH_SLOTS = 1 << 22
+MOST_CELLS = 1 << 13
 _FLUSH = 2_000_000
 
 SET_SCHEMA = (
@@ -78,7 +80,7 @@ def set_sig(hashes: np.ndarray) -> int:
 def parity_bits(hashes: np.ndarray) -> bytes:
     """Parities of the shingles in hashed cells; about half as many cells as shingles."""
     cells = 64
-    while 2 * cells < len(hashes):
+    while 2 * cells < len(hashes) and cells < MOST_CELLS:
         cells *= 2
     counts = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
@@ -90,19 +92,33 @@ def parity_bits(hashes: np.ndarray) -> bytes:
 def _counted(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """Stored (bucket, seen, keys, counts): which shingles occur twice, which often.
 
-    Shingles travel as packed 32-bit numbers, a row for a bucket and task.
+    Shingles travel as packed 32-bit numbers, a row for a bucket and task.  What a task has
+    several times goes once, with its count, so a frequent shingle stays small in its bucket.
     """
     shift = np.uint64(32 - bits)
     cells = min(SEEN_BITS_A_BUCKET, SEEN_BITS >> bits)
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
         keys = np.sort(np.concatenate(held) >> shift)
+        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times = np.diff(np.append(begins, len(keys))).astype(np.uint32)
+        keys = keys[begins]
         bucket = (keys >> np.uint64(32)).astype(np.int64)
-        own, begin = np.unique(bucket, return_index=True)
-        low = keys.astype(np.uint32)
-        data = [x.tobytes() for x in np.split(low, begin[1:])]
+        own = np.unique(bucket)
+
+        def packed(which: np.ndarray, values: np.ndarray) -> pa.Array:
+            cuts = np.searchsorted(bucket[which], own[1:])
+            return pa.array([x.tobytes() for x in np.split(values[which], cuts)], pa.binary())
+
+        low, again = keys.astype(np.uint32), times > 1
         return pa.RecordBatch.from_arrays(
-            [pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"]
+            [
+                pa.array(own, pa.int32()),
+                packed(~again, low),
+                packed(again, low),
+                packed(again, times),
+            ],
+            ["bucket", "once", "again", "times"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +136,16 @@ def _counted(docs: DataFrame, size: int, bits: int) -> DataFrame:
             yield pack(held)
 
     def count(rows):
-        low = np.frombuffer(b"".join(rows["data"]), np.uint32)
-        keys, found = np.unique(low, return_counts=True)
+        once, again, times = (
+            np.frombuffer(b"".join(rows[c]), np.uint32) for c in ("once", "again", "times")
+        )
+        keys, found = np.unique(once, return_counts=True)
+        if len(again):
+            keys, found = np.append(keys, again), np.append(found, times)
+            order = np.argsort(keys, kind="stable")
+            keys, found = keys[order], found[order]
+            begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys, found = keys[begins], np.add.reduceat(found, begins)
         bucket = int(rows["bucket"].iloc[0])
         seen = np.zeros(cells, np.uint8)
         twice = keys[found >= 2].astype(np.uint64)
@@ -137,7 +161,9 @@ def _counted(docs: DataFrame, size: int, bits: int) -> DataFrame:
             }
         )
 
-    packed = id_and_text(docs).select("text").mapInArrow(run, "bucket int, data binary")
+    packed = id_and_text(docs).select("text").mapInArrow(
+        run, "bucket int, once binary, again binary, times binary"
+    )
     return stored(
         packed.groupBy("bucket").applyInPandas(
             count, "bucket int, seen binary, keys binary, counts binary"
@@ -526,7 +552,11 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
 
 def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group does."""
+    """The rows of ``docs`` that stay when one document of each group does.
+
+    That is the document with the least id.  Rows with one id are one document and stay or go
+    together; rows with a null id stay.
+    """
     groups = components(docs, size, percent).where("doc_id <> component_id")
     gone = groups.select(F.col("doc_id").alias("_gone_id")).distinct()
     kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti")

@@ -239,6 +239,44 @@ def test_similarity_of_one_large_group(spark, monkeypatch):
     assert {r.doc_id for r in got if r.component_id == 0} == seen
 
 
+def test_frequent_shingles_are_counted_once_a_task(spark, monkeypatch):
+    """Counts from small flushes, with shingles repeated within and between them."""
+    monkeypatch.setattr(similarity, "_FLUSH", 50)
+    monkeypatch.setattr(similarity, "LEAST_FREQUENT", 2)
+    rng = random.Random(3)
+    rows = [f"{words(rng, 12, 9)} a b c d e" for _ in range(90)]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    got = similarity._counted(table, 4, 4).collect()
+    counts = Counter(s for own in brute_sets(rows, 4) for s in own)
+    found = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in got])
+    assert sorted(found.tolist()) == sorted(n for n in counts.values() if n >= 2)
+
+
+def test_similarity_of_long_texts(spark, monkeypatch):
+    """Parity cells that are few for the size of a set rule out nothing that links."""
+    monkeypatch.setattr(similarity, "MOST_CELLS", 64)
+    rng = random.Random(5)
+    base = words(rng, 3000, 10**6).split()
+    rows = []
+    for k in range(12):
+        own = list(base)
+        for at in rng.sample(range(3000), 20 + 12 * k):
+            own[at] = f"z{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    sets = brute_sets([t for _, t in rows], 4)
+    links = [
+        (a, b) for a in range(12) for b in range(a)
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    ]
+    want = list(range(12))
+    for _ in range(12):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    got = similarity.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+    assert 1 < len(set(want)) < 12
+
+
 def test_components_of_a_long_chain(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.node: r.root for r in components.roots(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -289,9 +327,14 @@ def test_sharding(docs, none):
 
 
 def test_shards_are_written_and_prune(spark, docs, tmp_path):
-    placed = sharding.sharded(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), 6)
-    sharding.write_shards(docs.dropDuplicates(["doc_id"]), placed, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == placed.count()
+    placed = sharding.sharded(docs, 6)
+    sharding.write_shards(docs.withColumn("shard", F.lit("own")), str(tmp_path / "out"), 6)
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, written.select("document.*").drop("shard").collect())) == sorted(
+        map(str, docs.collect())
+    )
+    counts = {r["shard"]: r["count"] for r in written.groupBy("shard").count().collect()}
+    assert counts == {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
     wide = sharding.ranges(placed).selectExpr("avg(max_n_chars - min_n_chars) AS w").head().w
     assert wide < docs.agg(F.max("n_chars") - F.min("n_chars")).head()[0]
 
