@@ -36,6 +36,11 @@ def crc_class(doc_id: str, modulus: int) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(modulus)
 
 
+def drawn(key: str, share: float) -> F.Column:
+    """Whether a row is in a share of all rows, by a hash of its key."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40)))
+
+
 def parts(rows: int, each: int, least: int = 1) -> int:
     """How many parts hold ``each`` rows: a count that grows with the data, not a cap."""
     return max(least, -(-rows // each))

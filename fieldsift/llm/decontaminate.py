@@ -83,6 +83,12 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
     )
 
 
+def _passes(windows: DataFrame) -> int:
+    """How many passes keep patterns and their item ids within PASS_BYTES each."""
+    ids = F.length(F.array_join("item_ids", ",")) + 16 * F.size("item_ids")
+    return parts(windows.agg(F.sum(F.length("pattern") + 48 + ids)).first()[0] or 0, PASS_BYTES)
+
+
 _automata: dict[str, ahocorasick.Automaton] = {}
 
 
@@ -157,8 +163,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     ``begins`` and ``ends`` are character offsets, the end not included.
     """
     windows = stored(_windows(items, window), "windows")
-    size = windows.agg(F.sum(F.length("pattern") + 64)).first()[0] or 0
-    passes = parts(size, PASS_BYTES)
+    passes = _passes(windows)
     texts = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
     found = None
     for k in range(passes):
@@ -233,8 +238,7 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     names, schema = docs.columns, docs.schema
     at = names.index("text")
     windows = stored(_windows(items, window), "windows")
-    size = windows.agg(F.sum(F.length("pattern") + 64)).first()[0] or 0
-    passes = parts(size, PASS_BYTES)
+    passes = _passes(windows)
     left = docs
     for k in range(passes):
         own = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k)

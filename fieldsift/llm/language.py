@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsift.llm.common import id_and_text
+from fieldsift.llm.common import drawn, id_and_text
 from fieldsift.llm.shingles import BLOCK_BYTES
 
 LEARN_ROWS = 12_000
@@ -155,13 +155,11 @@ def learned(docs: DataFrame, teaches: Column, lang: str = "lang") -> OutputCode
         return None
     # An even bound for each language, so rare ones are learned too.
     each = max(1, LEARN_ROWS // len(names))
-    drawn = F.lit(False)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    taken = F.lit(False)
     for name in names:
-        share = min(1.0, each / groups[name])
-        drawn = drawn | ((F.col("lang") == name) & (slot < max(1, int(share * 1_000_000))))
+        taken = taken | ((F.col("lang") == name) & drawn("doc_id", each / groups[name]))
     number = {name: k for k, name in enumerate(names)}
-    sample = usable.where(drawn).select("lang", "text")
+    sample = usable.where(taken).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((len(names), GRAMS), np.int64)
