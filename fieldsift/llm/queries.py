@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsift.llm import decontaminate, dedup, language, license_scan, line_dedup
-from fieldsift.llm import ngram_lm, packing, quality, sharding, similarity
+from fieldsift.llm import decontaminate, dedup, hard_negatives, language, license_scan
+from fieldsift.llm import line_dedup, ngram_lm, packing, periodic, quality, setsketch, sharding
+from fieldsift.llm import similarity
 from fieldsift.llm.common import crc_class, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,25 +97,99 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn(
+        "label",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")),
+    )
+    return hard_negatives.mined(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; a tenth of the texts repeat a part of their own words.
+
+    With h the crc32 of the id and g = h div 10, texts with h % 10 = 0 keep their first
+    a = g % n words and go on with the next p = 1 + (n - a) div (3 + g % 8) words again and
+    again, up to their old length.
+    """
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), _SPACES), lambda w: w != "")
+    rows = (
+        docs.select("doc_id", "text")
+        .withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+        .withColumn("words", F.when(F.col("h") % 10 == 0, words))
+        .withColumn("n", F.size("words").cast("long"))
+        .selectExpr("*", "if(n > 0, (h div 10) % n, 0) AS a")
+        .selectExpr("*", "1 + (n - a) div (3 + (h div 10) % 8) AS p")
+    )
+    repeated = (
+        "concat(slice(words, 1, int(a)), slice(flatten(array_repeat("
+        "slice(words, int(a) + 1, int(p)), int((n - a - 1) div p + 1))), 1, int(n - a)))"
+    )
+    return rows.selectExpr(
+        "doc_id", f"if(n > 0, array_join({repeated}, ' '), text) AS text"
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_repetitions(table(spark, sf_dir, "documents")))
+    # The longest run; of equal ones that with the least start, then the least period.
+    best = F.array_max(
+        F.transform(
+            "runs",
+            lambda r: F.struct(
+                r["length"].alias("length"),
+                (-r["start"]).alias("before"),
+                (-r["period"]).alias("shorter"),
+            ),
+        )
+    )
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.shorter")).alias("period"),
+        F.expr("1000 * best.length div -best.shorter").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _SPACES = r"[\x20\x09-\x0D]+"
 _LOWER = f"translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}')"
-_OP2 = f"""
+
+
+def _linked(size: int, percent: int, extra: str = "") -> str:
+    """Groups of documents whose sets of ``size`` words in a row are similar."""
+    return f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex({_LOWER}, '{_SPACES}'), lambda x: x <> '') AS ws
   FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 2),
-      lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - {size} + 2),
+      lambda i: array_to_string(ws[i:i + {size} - 1], ' '))) END AS sh FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
 p AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id
-  HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))),
+  HAVING 100 * count(*) >= {percent} * (max(a.n) + max(b.n) - count(*))),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM documents
   UNION SELECT r.node, p.b FROM r JOIN p ON r.seen = p.a),
 c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
-SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id{extra}
 FROM s JOIN c ON c.node = s.doc_id"""
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -155,6 +230,72 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER)
+    AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) <= 5"""
+
+_CRC = """
+list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])),
+    lambda r, k: xor(r >> 1, 3988292384 * (r & 1))))"""
+
+#: Every pair of equal words at every lag, then stretches of pairs in a row.
+_OP13 = f"""
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_SPACES}'),
+    lambda x: x <> '') AS old, xor({_CRC}, 4294967295) AS h FROM documents),
+g AS (
+  SELECT doc_id, old, len(old) AS n, h % 10 = 0 AND len(old) > 0 AS again,
+    CASE WHEN len(old) > 0 THEN (h // 10) % len(old) END AS a, (h // 10) % 8 AS r FROM t),
+ws AS (
+  SELECT doc_id, k, CASE WHEN again AND k >= a
+    THEN old[a + (k - a) % (1 + (n - a) // (3 + r)) + 1] ELSE old[k + 1] END AS w
+  FROM (SELECT *, unnest(range(0, n)) AS k FROM g)),
+m AS (
+  SELECT x.doc_id, y.k - x.k AS q, y.k AS i,
+    y.k - row_number() OVER (PARTITION BY x.doc_id, y.k - x.k ORDER BY y.k) AS island
+  FROM ws x JOIN ws y ON x.doc_id = y.doc_id AND x.w = y.w AND x.k < y.k),
+s AS (
+  SELECT doc_id, q, min(i) - q AS b, max(i) + 1 AS e FROM m GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (
+  SELECT * FROM s WHERE NOT EXISTS (
+    SELECT 1 FROM s z WHERE z.doc_id = s.doc_id AND z.q < s.q AND z.b <= s.b AND z.e >= s.e)),
+runs AS (
+  SELECT doc_id, count(*) AS n_runs,
+    sha256(string_agg(b || ',' || (e - b) || ',' || q || chr(10), '' ORDER BY b, q)) AS runs_sha256
+  FROM r GROUP BY doc_id),
+best AS (
+  SELECT * FROM r
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY e - b DESC, b, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(b + q, e)) AS k FROM r),
+kept AS (
+  SELECT doc_id, sha256(string_agg(w, ' ' ORDER BY k)) AS collapsed_sha256
+  FROM ws ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b AS start, e - b AS length, q AS period,
+  1000 * (e - b) // q AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256,
+  coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM g LEFT JOIN runs USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -168,12 +309,18 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_lm_scoring,
         op10_quality_classifier,
+        op11_hard_negatives,
+        op12_minhash_near_dedup,
+        op13_periodic_runs,
     )
 }
 CHECKS: dict[str, str] = {
-    "op2_ngram_jaccard_join": _OP2,
+    "op2_ngram_jaccard_join": _linked(4, 85),
     "op4_decontamination": _op4(),
     "op5_exact_dedup": _OP5,
     "op7_license_scan": license_scan.oracle(),
     "op8_line_dedup": line_dedup.oracle(),
+    "op11_hard_negatives": _OP11,
+    "op12_minhash_near_dedup": _linked(5, 85, ", doc_id = component_id AS kept"),
+    "op13_periodic_runs": _OP13,
 }

@@ -71,6 +71,17 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, begins)
 
 
+def rolled_words(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all ``size`` words in a row within a text, and the number of the text."""
+    hashes, first = words(texts)
+    rolled = np.zeros(max(len(hashes) - size + 1, 0), np.uint64)
+    for k in range(size):
+        rolled += hashes[k : k + len(rolled)] * _ORDER_KEYS[k]
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    inside = owner[: len(rolled)] == owner[size - 1 :]
+    return mix(rolled[inside]), owner[: len(rolled)][inside]
+
+
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text.
 

@@ -11,7 +11,7 @@ from fieldsift.llm.queries import CHECKS, QUERIES
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_matches_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = connection.sql(CHECKS[name]).df()
     got = QUERIES[name](spark, str(DATA)).toPandas()
@@ -19,7 +19,9 @@ def test_query_matches_sql(spark, name):
     assert sorted(got.columns) == columns
 
     def rows(frame):
-        return sorted(map(str, frame[columns].astype(object).values.tolist()))
+        frame = frame[columns].astype(object).where(frame[columns].notna(), None)
+        whole = lambda x: int(x) if isinstance(x, float) and x.is_integer() else x
+        return sorted(str([whole(x) for x in row]) for row in frame.values.tolist())
 
     assert rows(got) == rows(want)
 
