@@ -57,6 +57,7 @@ LOG_BASE = float(np.log(BASE))
 CERTAIN = 20.0
 BLOCK_ROWS = 2_048
 ROUND_POINTS = 1 << 20
+MARKED = 1 << 21
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _GRID = np.linspace(0.0, 1.0, 201)
@@ -177,24 +178,26 @@ def most_apart(percent: int) -> int:
 
 # ---- stored sets and candidates
 
-_SET = "row long, doc_id long, n long, high long, low long, regs binary, hashes binary"
+_SKETCH = "row long, doc_id long, n long, high long, low long, regs binary"
+_KEYS = ["high", "low", "n"]
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Stored row per document: set size, 128-bit signature, registers, the set itself."""
+def _signatures(sets: list[np.ndarray]) -> np.ndarray:
+    both = [
+        [mix(s ^ np.uint64(k)).sum(dtype=np.uint64) for k in (0x6A09E667, 0xBB67AE85)] for s in sets
+    ]
+    return np.array(both, np.uint64).reshape(-1, 2).view(np.int64)
+
+
+def _sketched(docs: DataFrame, size: int) -> DataFrame:
+    """Stored row per document: set size, 128-bit signature and registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for block in blocks(t.as_py() for t in batch.column(1)):
                 sets = shingle_sets(block, size)
-                both = np.array(
-                    [
-                        [mix(s ^ np.uint64(k)).sum(dtype=np.uint64) for k in (0x6A09E667, 0xBB67AE85)]
-                        for s in sets
-                    ],
-                    np.uint64,
-                ).view(np.int64)
+                both = _signatures(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(2).slice(done, len(block)),
@@ -203,14 +206,13 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                         pa.array(both[:, 0], pa.int64()),
                         pa.array(both[:, 1], pa.int64()),
                         pa.array([r.tobytes() for r in sketches(sets)], pa.binary()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
                     ],
-                    ["row", "doc_id", "n", "high", "low", "regs", "hashes"],
+                    ["row", "doc_id", "n", "high", "low", "regs"],
                 )
                 done += len(block)
 
     rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
-    return stored(rows.mapInArrow(run, _SET), "sketches")
+    return stored(rows.mapInArrow(run, _SKETCH), "sketches")
 
 
 def band_rows(percent: int) -> int:
@@ -256,7 +258,59 @@ def _compared(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return larger, (one < two).sum(axis=1).astype(np.float64)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _whole(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """Stored (node, hashes): the whole sets of ``ends`` (node, doc_id, high, low, n).
+
+    The sets are made anew from the texts of these documents, as storing them all would take
+    twice the space of the texts.  Marks of their ids, a broadcast of one megabyte at most,
+    keep other texts out; beyond ``MARKED`` ids a semi join does.
+    """
+    many = ends.count()
+    texts = id_and_text(docs)
+    wanted = np.zeros(0, np.uint8)
+    if many <= MARKED:
+        slots = 1 << max(10, (4 * many).bit_length())
+        texts = texts.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int"))
+        own = ends.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("slot"))
+        marks = np.zeros(slots, bool)
+        marks[own.distinct().toArrow().column(0).to_numpy()] = True
+        wanted = np.packbits(marks)
+    else:
+        ids = ends.select(F.col("doc_id").alias("id")).distinct()
+        texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").withColumn(
+            "slot", F.lit(-1)
+        )
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for batch in batches:
+            column, at = batch.column(0), batch.column(1).to_numpy()
+            if len(marks):
+                hit = marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+                column = column.filter(pa.array(hit.astype(bool)))
+            for block in blocks(t.as_py() for t in column):
+                sets = shingle_sets(block, size)
+                both = _signatures(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(both[:, 0], pa.int64()),
+                        pa.array(both[:, 1], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                    ],
+                    [*_KEYS, "hashes"],
+                )
+
+    made = texts.select("text", "slot").mapInArrow(run, "high long, low long, n long, hashes binary")
+    # Repeated rows give one set once.
+    sets = made.join(ends.select("node", *_KEYS), _KEYS).select("node", "hashes")
+    return stored(sets.dropDuplicates(["node"]), "whole")
+
+
+def _verified(
+    pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int
+) -> DataFrame:
     """Stored pairs (a, b) that are similar enough by their whole sets.
 
     First sizes and registers of both ends decide which pairs are read at all.
@@ -295,7 +349,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "likely",
     )
     ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    whole = stored(sets.select("node", "hashes").join(ends, "node", "left_semi"), "whole")
+    named = sets.select("node", "doc_id", *_KEYS).join(ends, "node", "left_semi")
+    whole = _whole(docs, stored(named, "ends"), size)
     # The member's set travels to the other end's; one set a pair crosses the network.
     return stored(
         likely.join(whole.toDF("b", "set_b"), "b")
@@ -414,33 +469,29 @@ def _lists(buckets: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles`` and ``component_id``, the least id of its group."""
-    rows = _sets(docs, size)
-    # One entry for equal sets: the row with the least number has its registers and hashes.
-    firsts = stored(
-        rows.where("n > 0")
-        .groupBy("high", "low", "n")
-        .agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")),
-        "firsts",
-    )
+    rows = _sketched(docs, size)
+    # One entry for equal sets, with the registers of any of them: they are the same.
     sets = stored(
-        rows.select(F.col("row").alias("node"), "n", "regs", "hashes").join(
-            firsts.select("node"), "node", "left_semi"
+        rows.where("n > 0")
+        .groupBy(*_KEYS)
+        .agg(
+            F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs")
         ),
         "sets",
     )
     buckets = _buckets(sets, band_rows(percent))
     heads = buckets.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    links = _verified(heads.distinct(), sets, percent)
+    links = _verified(heads.distinct(), docs, sets, size, percent)
     found = stored(roots(links), "roots")
     for nearest in (True, False):
         lists = _lists(buckets, sets, found)
-        more = _verified(_between(lists, percent, nearest), sets, percent)
+        more = _verified(_between(lists, percent, nearest), docs, sets, size, percent)
         if more.limit(1).count():
             links = links.unionByName(more)
             found = stored(roots(links), "roots")
-    rooted = firsts.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = sets.select("node", "doc_id", *_KEYS).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = rooted.join(least, "root").select("high", "low", "n", "component_id")
-    linked = rows.where("n > 0").join(ids, ["high", "low", "n"]).select("doc_id", "n", "component_id")
+    ids = rooted.join(least, "root").select(*_KEYS, "component_id")
+    linked = rows.where("n > 0").join(ids, _KEYS).select("doc_id", "n", "component_id")
     alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumnRenamed("n", "n_shingles")

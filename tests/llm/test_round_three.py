@@ -332,3 +332,12 @@ def test_hard_negatives(spark, vectors, small, monkeypatch):
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert hard_negatives.mined(none, F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_sets_by_marks_and_by_join(spark, near_texts, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(near_texts)) + [(None, near_texts[5])] * 2,
+                                 "doc_id long, text string")
+    monkeypatch.setattr(setsketch, "MARKED", 0)
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()}
+    assert got.pop(None) == 5
+    assert got == dict(enumerate(brute_groups(near_texts, 5, 85)[1]))
