@@ -22,10 +22,11 @@ of about one in 10^9 for a pair that links.
 *Verification.*  What goes on is decided on the whole sets.
 
 *Large buckets.*  As groups are asked for, not pairs, first each set of a bucket is verified
-against the bucket's least one.  Only buckets that then still hold several groups are looked
-at again, block against block, with registers at hand: first each set against the likeliest
-one of another group, then every pair of different groups whose estimate passes.  No link
-between groups is left out, and copies are never expanded into all their pairs.
+against the bucket's least one: in a few bands, then in all where the two are not in one group
+yet.  Only buckets that then still hold several groups are looked at again, block against
+block, with registers at hand: first each set against the likeliest one of another group,
+then every pair of different groups whose estimate passes.  No link between groups is left
+out, and copies are never expanded into all their pairs.
 
 Defined results: a null or wordless text has no shingles and links with nothing; a text of
 fewer words than a shingle is one shingle; equal texts and equal ids are rows of one group
@@ -58,6 +59,7 @@ CERTAIN = 20.0
 BLOCK_ROWS = 2_048
 ROUND_POINTS = 1 << 20
 MARKED = 1 << 21
+FIRST_BANDS = 3
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _GRID = np.linspace(0.0, 1.0, 201)
@@ -262,14 +264,14 @@ def _whole(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
     """Stored (node, hashes): the whole sets of ``ends`` (node, doc_id, high, low, n).
 
     The sets are made anew from the texts of these documents, as storing them all would take
-    twice the space of the texts.  Marks of their ids, a broadcast of one megabyte at most,
-    keep other texts out; beyond ``MARKED`` ids a semi join does.
+    twice the space of the texts.  Marks of their ids, a broadcast of 16 MB at most, keep
+    other texts out but for a sixty-fourth part; beyond ``MARKED`` ids a semi join does.
     """
     many = ends.count()
     texts = id_and_text(docs)
     wanted = np.zeros(0, np.uint8)
     if many <= MARKED:
-        slots = 1 << max(10, (4 * many).bit_length())
+        slots = 1 << max(10, (32 * many).bit_length())
         texts = texts.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int"))
         own = ends.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("slot"))
         marks = np.zeros(slots, bool)
@@ -431,6 +433,21 @@ def _between(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
     )
 
 
+def _heads(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's least set and another one of its sets.
+
+    Without groups ``found`` only of the first bands, with them of different groups only.
+    """
+    pairs = buckets.where("head <> node").select("key", F.col("head").alias("a"), F.col("node").alias("b"))
+    if found is None:
+        return pairs.where(F.col("key").bitwiseAND(F.lit(255)) < FIRST_BANDS).select("a", "b").distinct()
+    of = {e: found.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}")) for e in "ab"}
+    named = pairs.select("a", "b").distinct().join(of["b"], "b", "left").join(of["a"], "a", "left")
+    return named.where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    ).select("a", "b")
+
+
 def _lists(buckets: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     """Buckets that hold several groups, with registers, cut into pairs of blocks.
 
@@ -480,14 +497,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         "sets",
     )
     buckets = _buckets(sets, band_rows(percent))
-    heads = buckets.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    links = _verified(heads.distinct(), docs, sets, size, percent)
-    found = stored(roots(links), "roots")
-    for nearest in (True, False):
-        lists = _lists(buckets, sets, found)
-        more = _verified(_between(lists, percent, nearest), docs, sets, size, percent)
-        if more.limit(1).count():
-            links = links.unionByName(more)
+    links, found = None, None
+    for step in ("first heads", "all heads", "nearest", "every pair"):
+        if step in ("first heads", "all heads"):
+            pairs = _heads(buckets, found)
+        else:
+            pairs = _between(_lists(buckets, sets, found), percent, step == "nearest")
+        more = _verified(pairs, docs, sets, size, percent)
+        if links is None or more.limit(1).count():
+            links = more if links is None else links.unionByName(more)
             found = stored(roots(links), "roots")
     rooted = sets.select("node", "doc_id", *_KEYS).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
