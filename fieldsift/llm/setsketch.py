@@ -19,7 +19,10 @@ registers of a pair have a likelihood for each similarity.  A pair goes on unles
 similarity below the bound is e^20 times likelier than all from the bound upwards, a chance
 of about one in 10^9 for a pair that links.
 
-*Verification.*  What goes on is decided on the whole sets.
+*Verification.*  What goes on is decided on the whole sets.  Before these are fetched, the
+parities of both sets in hashed cells, two to four times as many as shingles, are compared:
+the number of cells that differ is at most the size of the difference, so too many of them
+rule a link out for certain.
 
 *Large buckets.*  As groups are asked for, not pairs, first each set of a bucket is verified
 against the bucket's least one: in a few bands, then in all where the two are not in one group
@@ -60,6 +63,7 @@ BLOCK_ROWS = 2_048
 ROUND_POINTS = 1 << 20
 MARKED = 1 << 21
 FIRST_BANDS = 3
+MOST_CELLS = 1 << 13
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _GRID = np.linspace(0.0, 1.0, 201)
@@ -178,9 +182,54 @@ def most_apart(percent: int) -> int:
     return low
 
 
+# ---- parities, a certain bound
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """Parities of a set in ``MOST_CELLS`` hashed cells at most."""
+    cells = 64
+    while cells < 2 * len(hashes) and cells < MOST_CELLS:
+        cells *= 2
+    counts = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """The parities of many sets; wider ones are folded to the other side's width."""
+
+    def __init__(self, column) -> None:
+        held = column.to_pylist()
+        self.width = np.array([len(b) for b in held], np.int64) // 8
+        self.start = np.cumsum(self.width) - self.width
+        self.words = np.frombuffer(b"".join(held), np.uint64)
+
+    def folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        found = np.zeros((len(rows), width), np.uint64)
+        for own in np.unique(self.width[rows]).tolist():
+            at = np.flatnonzero(self.width[rows] == own)
+            words = self.words[self.start[rows[at]][:, None] + np.arange(own)]
+            found[at] = np.bitwise_xor.reduce(words.reshape(len(at), own // width, width), axis=1)
+        return found
+
+
+def too_different(
+    one: Parities, i: np.ndarray, two: Parities, j: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int
+) -> np.ndarray:
+    """Which pairs of rows ``i`` and ``j``, sets of sizes n and m, cannot link."""
+    shared = -(-percent * (n + m) // (100 + percent))  # the least intersection of a link
+    width = np.minimum(one.width[i], two.width[j])
+    found = np.zeros(len(i), bool)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        for some in np.array_split(at, len(at) * w // 500_000 + 1):
+            differ = np.bitwise_count(one.folded(i[some], w) ^ two.folded(j[some], w)).sum(axis=1)
+            found[some] = differ > (n + m - 2 * shared)[some]
+    return found
+
+
 # ---- stored sets and candidates
 
-_SKETCH = "row long, doc_id long, n long, high long, low long, regs binary"
+_SKETCH = "row long, doc_id long, n long, high long, low long, regs binary, cells binary"
 _KEYS = ["high", "low", "n"]
 
 
@@ -192,7 +241,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    """Stored row per document: set size, 128-bit signature and registers."""
+    """Stored row per document: set size, 128-bit signature, registers and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +257,9 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
                         pa.array(both[:, 0], pa.int64()),
                         pa.array(both[:, 1], pa.int64()),
                         pa.array([r.tobytes() for r in sketches(sets)], pa.binary()),
+                        pa.array([parities(s) for s in sets], pa.binary()),
                     ],
-                    ["row", "doc_id", "n", "high", "low", "regs"],
+                    ["row", "doc_id", "n", "high", "low", "regs", "cells"],
                 )
                 done += len(block)
 
@@ -315,7 +365,7 @@ def _verified(
 ) -> DataFrame:
     """Stored pairs (a, b) that are similar enough by their whole sets.
 
-    First sizes and registers of both ends decide which pairs are read at all.
+    First sizes, registers and parities of both ends decide which pairs are read at all.
     """
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,8 +376,11 @@ def _verified(
                 np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS)
                 for k in (4, 5)
             )
-            n, m = (batch.column(k).to_numpy().astype(np.float64) for k in (2, 3))
-            good = possible(*_compared(one, two), n, m, percent)
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            good = possible(*_compared(one, two), n.astype(np.float64), m.astype(np.float64), percent)
+            rows = np.flatnonzero(good)
+            cells = Parities(batch.column(6)), Parities(batch.column(7))
+            good[rows] = ~too_different(cells[0], rows, cells[1], rows, n[rows], m[rows], percent)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,11 +395,13 @@ def _verified(
                 good.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    short = sets.select("node", "n", "regs")
-    sized = pairs.join(short.toDF("b", "m", "regs_b"), "b").join(short.toDF("a", "n", "regs_a"), "a")
+    short = sets.select("node", "n", "regs", "cells")
+    sized = pairs.join(short.toDF("b", "m", "regs_b", "cells_b"), "b").join(
+        short.toDF("a", "n", "regs_a", "cells_a"), "a"
+    )
     likely = stored(
         sized.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        .select("a", "b", "n", "m", "regs_a", "regs_b")
+        .select("a", "b", "n", "m", "regs_a", "regs_b", "cells_a", "cells_b")
         .mapInArrow(estimate, "a long, b long"),
         "likely",
     )
@@ -372,7 +427,9 @@ def _between(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
     def evaluate(table: pa.Table) -> pa.RecordBatch:
         node, group, side = (table[c].to_numpy() for c in ("node", "group", "side"))
-        n = table["n"].to_numpy().astype(np.float64)
+        whole = table["n"].to_numpy()
+        n = whole.astype(np.float64)
+        cells = Parities(table["cells"])
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
         key, part = table["key"].to_numpy(), table["part"].to_numpy()
         begins = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
@@ -393,6 +450,9 @@ def _between(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
                     continue
                 differ = (regs[rest] != regs[i]).sum(axis=1)
                 rest, differ = rest[differ <= apart], differ[differ <= apart]
+                own = np.full(len(rest), i)
+                near = ~too_different(cells, own, cells, rest, whole[own], whole[rest], percent)
+                rest, differ = rest[near], differ[near]
                 if not len(rest):
                     continue
                 if nearest:
@@ -425,7 +485,7 @@ def _between(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
             yield evaluate(pa.Table.from_batches(held).combine_chunks())
 
     return (
-        lists.select("key", "part", "side", "node", "group", "n", "regs")
+        lists.select("key", "part", "side", "node", "group", "n", "regs", "cells")
         .repartition("key", "part")
         .sortWithinPartitions("key", "part")
         .mapInArrow(run, "a long, b long")
@@ -481,7 +541,7 @@ def _lists(buckets: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
             .alias("side"),
         )
     )
-    return cut.join(sets.select("node", "n", "regs"), "node")
+    return cut.join(sets.select("node", "n", "regs", "cells"), "node")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -492,7 +552,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         rows.where("n > 0")
         .groupBy(*_KEYS)
         .agg(
-            F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs")
+            F.min("row").alias("node"), F.min("doc_id").alias("doc_id"),
+            F.first("regs").alias("regs"), F.first("cells").alias("cells"),
         ),
         "sets",
     )

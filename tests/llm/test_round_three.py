@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +342,22 @@ def test_sets_by_marks_and_by_join(spark, near_texts, monkeypatch):
     got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()}
     assert got.pop(None) == 5
     assert got == dict(enumerate(brute_groups(near_texts, 5, 85)[1]))
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (5, 40, 50, 900, 1000, 6000):
+        for similarity in (0.6, 0.84, 0.87, 1.0):
+            sets += random_sets(rng, n, similarity)
+    held = setsketch.Parities(pa.array([setsketch.parities(s) for s in sets], pa.binary()))
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    size = np.array([len(s) for s in sets])
+    gone = setsketch.too_different(held, i, held, j, size[i], size[j], 85)
+    some = 0
+    for a, b, ruled_out in zip(i, j, gone):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 85 * (size[a] + size[b] - both):
+            assert not ruled_out
+        some += ruled_out
+    assert some > len(gone) // 2
