@@ -33,14 +33,26 @@ def batch_item(pdf: Column, status: Column, output: Column, error: Column) -> li
     ]
 
 
-def batch_totals(items: DataFrame) -> DataFrame:
-    """A1: one row with the counts of processed, failed and skipped documents."""
+TOTALS_SCHEMA = "processed bigint, errors bigint, skipped bigint"
+
+
+def total_counts() -> dict[str, Column]:
+    """A1: what is counted over the items of a batch."""
     status = F.col("status")
-    return items.agg(
-        F.count_if(status == schemas.OK).alias("processed"),
-        F.count_if(status == schemas.ERROR).alias("errors"),
-        F.count_if(status == schemas.SKIPPED).alias("skipped"),
-    )
+    return {
+        "processed": F.count_if(status == schemas.OK),
+        "errors": F.count_if(status == schemas.ERROR),
+        "skipped": F.count_if(status == schemas.SKIPPED),
+    }
+
+
+def batch_totals(items: DataFrame) -> DataFrame:
+    """A1: one row with the counts of processed, failed and skipped documents.
+
+    A report that writes its items observes the same counts on the way and needs no
+    second pass (``sources/sinks.py``).
+    """
+    return items.agg(*[count.alias(name) for name, count in total_counts().items()])
 
 
 def shared_outputs(items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ anything is joined, so a lookup never moves document texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldsift import schemas
@@ -29,6 +29,8 @@ from fieldsift.operators.templates import (
     split_templates,
     template_missing_error,
 )
+from fieldsift.session import run_folder
+from fieldsift.sources.listing import failed_items, list_documents, usable
 from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
 
 #: What decides about a document, and what a record shows of it.
@@ -263,6 +265,32 @@ def batch_documents(
     )
 
 
+def batch_folder(
+    spark: SparkSession,
+    folder: str,
+    output_dir: str,
+    *,
+    pattern: str = "*.pdf",
+    recursive: bool = False,
+    **options,
+) -> DataFrame:
+    """One item for every name in a folder that matches; ``options`` as ``batch_documents``.
+
+    A file that cannot be read, or is no text, is an item with its error.  The files are
+    read once, into a run folder, so the items do not change while a batch runs and a lost
+    executor reads none of them again.  Without a context or a template none is opened.
+    """
+    skipped = any(options.get(name) is None for name in ("context", "templates", "template_path"))
+    listed = list_documents(spark, folder, pattern=pattern, recursive=recursive, content=not skipped)
+    if skipped:
+        return batch_documents(listed, output_dir, **options)
+    stored = run_folder(spark, "listing")
+    listed.write.parquet(stored)
+    files = spark.read.schema(listed.schema).parquet(stored)
+    items = batch_documents(usable(files), output_dir, **options)
+    return items.unionByName(failed_items(files), allowMissingColumns=True)
+
+
 class ContextNotUsable(ValueError):
     """The one context of a batch is missing or invalid."""
 

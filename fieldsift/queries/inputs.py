@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldsift.session import run_folder
 from fieldsift.sources.documents import spread
+from fieldsift.sources.listing import opened
 
 SHEET_MIN_CHARS = 60
 
@@ -37,9 +39,9 @@ def _sql_text(template: str) -> str:
 # One layout per kind of document the extraction distinguishes.
 SHEET_LAYOUTS = (
     # labels
-    "KARTA KATALOGOWA\nSystem ocieplen\n\nMaterial type: {p_name} insulation board\n"
-    "Description: Thermal {p_name} layer for foundation walls.\n\n"
-    "Manufacturer: {p_brand}\nReference code: PVC-{p_partkey}",
+    "ARKUSZ WYROBU {p_partkey}\nDział dachów\n\nMaterial type: {p_name} insulation mat\n"
+    "Description: Soft {p_name} mat laid under roof tiles.\n\n"
+    "Manufacturer: {p_brand}\nOrder number: MT-{p_partkey}",
     # labels with continuation lines, across a blank line
     "KARTA PRODUKTU\nSpecyfikacja techniczna\nMATERIAL TYPE : {p_name} fire resistant\n"
     "insulation panel for facade\n\n{p_size} mm\n(grade {p_type})\nDescription - Lightweight "
@@ -131,6 +133,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What is in the folder for a document: a text, a text with a byte that is no UTF-8, or a folder.
+FILE_KIND_SQL = "CASE doc_id % 6 WHEN 4 THEN 'bytes' WHEN 5 THEN 'folder' ELSE 'text' END"
+# Hidden names, and one that does not match ``*.pdf``.
+FILE_NAME_SQL = (
+    "concat(CASE doc_id % 6 WHEN 1 THEN '_' WHEN 2 THEN '.' ELSE '' END, 'doc ', "
+    "CAST(doc_id AS STRING), CASE WHEN doc_id % 6 = 3 THEN '.PDF' ELSE '.pdf' END)"
+)
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write every document as a file of its own; the folder they are in."""
+    folder = run_folder(spark, "files")
+    rows = spread_if_set(load(spark, sf_dir, "documents")).selectExpr(
+        f"{FILE_NAME_SQL} AS name", f"{FILE_KIND_SQL} AS kind", "coalesce(text, '') AS text"
+    )
+
+    def write(batches):
+        store, root = opened(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == "folder":
+                    store.create_dir(f"{root}/{row['name']}")
+                    continue
+                with store.open_output_stream(f"{root}/{row['name']}") as stream:
+                    stream.write(row["text"].encode() + b"\xff" * (row["kind"] == "bytes"))
+            yield batch.select(["name"])
+
+    rows.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 PARTITIONS_SETTING = "fieldsift.inputPartitions"
 
 

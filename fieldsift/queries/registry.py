@@ -42,6 +42,8 @@ from fieldsift.queries import inputs
 from fieldsift.queries import oracle as O
 from fieldsift.session import run_folder
 from fieldsift.sources import sinks
+from fieldsift.sources.listing import list_documents
+from fieldsift.sources.publish import published_folder
 from fieldsift.vocab import DEFAULT_VOCABULARY as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +126,40 @@ def s1_document_scan(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", "source_path", md5("text").alias("text_md5"))
 
 
+_FILES_SQL = (
+    f"files AS (SELECT doc_id AS k, {inputs.FILE_NAME_SQL} AS name, {inputs.FILE_KIND_SQL} AS kind, "
+    "coalesce(text, '') AS content FROM documents WHERE doc_id % 6 <> 3)"
+)
+_FILE_ERROR_SQL = (
+    "CASE kind WHEN 'bytes' THEN 'Not UTF-8 at byte ' || octet_length(encode(content)) || ': ' "
+    "|| name WHEN 'folder' THEN 'Not a file: ' || name END"
+)
+
+
+def _named(column: str, folder: str) -> F.Column:
+    """A path or message without the folder of this run."""
+    return F.regexp_replace(column, rf"(?:file:)?\S*/{folder.rsplit('/', 1)[-1]}/", "")
+
+
+@query(
+    "s1_folder_listing",
+    f"WITH {_FILES_SQL} SELECT name, CASE kind WHEN 'bytes' THEN 'not_utf8' WHEN 'folder' THEN "
+    f"'not_a_file' ELSE 'ok' END AS status, {_FILE_ERROR_SQL} AS error, "
+    "CASE kind WHEN 'text' THEN octet_length(encode(content)) "
+    "WHEN 'bytes' THEN octet_length(encode(content)) + 1 END AS size, "
+    "CASE kind WHEN 'text' THEN md5(content) END AS text_md5 FROM files",
+)
+def s1_folder_listing(spark, sf_dir):
+    folder = inputs.document_files(spark, sf_dir)
+    return list_documents(spark, folder).select(
+        _named("source_path", folder).alias("name"),
+        "status",
+        _named("error", folder).alias("error"),
+        "size",
+        md5("text").alias("text_md5"),
+    )
+
+
 @query(
     "s2_page_assembly",
     "SELECT conv_id, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS text_md5, "
@@ -1178,6 +1214,29 @@ def a1_batch_totals(spark, sf_dir):
     return reports.batch_totals(_batch(spark, sf_dir))
 
 
+@query(
+    "a2_batch_folder",
+    f"{DOC_EXTRACTION}, {_FILES_SQL} SELECT name AS pdf, "
+    "CASE WHEN kind = 'text' AND status = 'ok' THEN 'ok' ELSE 'error' END AS status, "
+    f"CASE WHEN kind = 'text' AND status = 'ok' THEN 'out/' || {O.without_suffix('name')} "
+    "|| '.docx' END AS output, "
+    f"CASE WHEN kind = 'text' THEN error ELSE {_FILE_ERROR_SQL} END AS error, "
+    "CAST(NULL AS VARCHAR) AS reason FROM files JOIN extracted USING (k)",
+)
+def a2_batch_folder(spark, sf_dir):
+    folder = inputs.document_files(spark, sf_dir)
+    items = workflows.batch_folder(
+        spark,
+        folder,
+        "out",
+        context=contexts(spark, sf_dir).where(F.col("context_path") == _SHARED_KEY),
+        templates=inputs.templates(spark, sf_dir),
+        template_path=_BATCH_TEMPLATE,
+        render=False,
+    )
+    return items.withColumns({c: _named(c, folder) for c in ("pdf", "error")})
+
+
 @query(
     "c9_batch_skip",
     f"SELECT {inputs.DOCUMENT_PATH_SQL} AS pdf, 'skipped' AS status, "
@@ -1220,7 +1279,8 @@ def s5_json_records(spark, sf_dir):
     rows = usable.select("context_path", "context.*")
     folder = run_folder(spark, "records")
     sinks.write_json_records(rows, folder)
-    return spark.read.schema(rows.schema).json(folder).select(
+    written = published_folder(spark, folder, "records")
+    return spark.read.schema(rows.schema).json(written).select(
         "context_path", "template_variant", "prepared_by_role",
         F.array_join("attachments", " | ").alias("attachments"),
     )
@@ -1235,10 +1295,20 @@ def s5_json_records(spark, sf_dir):
 )
 def s6_batch_report(spark, sf_dir):
     folder = run_folder(spark, "report")
-    sinks.write_batch_report(_batch(spark, sf_dir), folder)
-    return spark.read.schema("processed bigint, errors bigint, skipped bigint").json(
-        f"{folder}/totals"
-    )
+    items = _batch(spark, sf_dir)
+    sinks.write_batch_report(items, folder)
+    return sinks.read_batch_report(spark, folder, items.schema)[1]
+
+
+@query(
+    "s6_batch_report_items",
+    f"{_BATCH} SELECT pdf, status, output, error, reason FROM items",
+)
+def s6_batch_report_items(spark, sf_dir):
+    folder = run_folder(spark, "report")
+    items = _batch(spark, sf_dir)
+    sinks.write_batch_report(items, folder)
+    return sinks.read_batch_report(spark, folder, items.schema)[0]
 
 
 @query(
@@ -1249,7 +1319,7 @@ def s6_batch_report(spark, sf_dir):
 def s7_quarantine(spark, sf_dir):
     folder = run_folder(spark, "quarantine")
     sinks.write_quarantine(quarantine(documents(spark, sf_dir)), folder)
-    return spark.read.parquet(folder)
+    return spark.read.parquet(published_folder(spark, folder, "rejected"))
 
 
 @query(
@@ -1264,4 +1334,4 @@ def s8_render_rows(spark, sf_dir):
     sinks.write_render_rows(
         built.where(F.col("status") == schemas.OK).select(*schemas.RENDER_FIELDS), folder
     )
-    return spark.read.parquet(folder)
+    return spark.read.parquet(published_folder(spark, folder, "rows"))

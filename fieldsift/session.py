@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +26,18 @@ def build_session(app_name: str = "fieldsift", master: str | None = None) -> Spa
     return builder.getOrCreate()
 
 
+@cache
+def _local_base() -> str:
+    """One temporary folder for this process, removed when it ends."""
+    base = tempfile.mkdtemp(prefix="fieldsift-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
+#: Run folders that this process named, oldest first.
+_NAMED: list[str] = []
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
@@ -33,5 +48,26 @@ def run_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="fieldsift-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _local_base()
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _NAMED.append(folder)
+    return folder
+
+
+def remove_run_folders(spark: SparkSession, since: int = 0) -> int:
+    """Delete the run folders that this process named, and say how many.
+
+    For the end of a job, when no result that reads them is needed any more.  ``since`` is
+    an earlier ``len`` of them (``named_run_folders``), to keep older ones.
+    """
+    from fieldsift.sources.store import Store
+
+    gone = _NAMED[since:]
+    del _NAMED[since:]
+    for folder in gone:
+        Store(spark, folder).delete(folder)
+    return len(gone)
+
+
+def named_run_folders() -> int:
+    return len(_NAMED)

@@ -12,7 +12,9 @@ def read_text_folder(
     """``source_path, text`` for the files of a folder whose names match.
 
     The files hold extracted text.  Like a plain directory listing, sub-folders are
-    not entered unless asked for, and names are matched case-sensitively.
+    not entered unless asked for, and names are matched case-sensitively.  Spark's reader
+    leaves out names that begin with ``_`` or ``.`` and replaces bytes that are no UTF-8;
+    ``sources/listing.py`` has a row with a status for every name.
     """
     return (
         spark.read.option("pathGlobFilter", pattern)

@@ -16,9 +16,10 @@ from fieldsift.plans.workflows import (
 from fieldsift.session import run_folder
 from fieldsift.sources import sinks
 from fieldsift.sources.documents import read_json_files, read_text_folder
+from fieldsift.sources.publish import published_folder
 
-LABELLED = "Material type: PVC board\nDescription: Board for walls.\nReference code: 12"
-MISSING = "Manufacturer: Elektro-Max S.A.\nDescription: Power cable.\nTyp: H07RN-F"
+LABELLED = "Material type: Cork mat\nDescription: Mat below parquet floors.\nOrder number: 12"
+MISSING = "Producent: Lumen Wschód\nDescription: Ceiling lamp.\nTyp: LW-3"
 
 
 def table(spark, rows, columns):
@@ -88,7 +89,7 @@ def test_generate_status_precedence(spark, templates):
         "far/scan.pdf": ("context_error", 3),
     }
     assert got["in/ok.pdf"].output == "in/ok.docx"
-    assert got["in/ok.pdf"].rendered == "PVC board|Hager|—"
+    assert got["in/ok.pdf"].rendered == "Cork mat|Hager|—"
     assert got["in/template.pdf"].error == "Template not found: none.txt"
     assert all(r.rendered is None for k, r in got.items() if k != "in/ok.pdf")
 
@@ -179,13 +180,15 @@ def test_json_files_and_sinks(spark, tmp_path, docs):
 
     rows = table(spark, [("a", None)], "x y")
     sinks.write_json_records(rows, str(tmp_path / "records"))
-    assert spark.read.text(str(tmp_path / "records")).head()[0] == '{"x":"a","y":null}'
+    written = published_folder(spark, str(tmp_path / "records"), "records")
+    assert spark.read.text(written).head()[0] == '{"x":"a","y":null}'
     assert rows.select(sinks.json_record("x", "y")).head()[0] == '{"x":"a","y":null}'
 
     items = batch_documents(docs, "out").drop("rendered")
     sinks.write_batch_report(items, str(tmp_path / "report"))
-    totals = spark.read.text(str(tmp_path / "report" / "totals")).head()[0]
-    assert json.loads(totals) == {"processed": 0, "errors": 0, "skipped": 3}
-    written = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "report/items")).collect()]
+    totals = published_folder(spark, str(tmp_path / "report"), "totals")
+    assert json.loads(spark.read.text(totals).head()[0]) == {"processed": 0, "errors": 0, "skipped": 3}
+    items = published_folder(spark, str(tmp_path / "report"), "items")
+    written = [json.loads(r[0]) for r in spark.read.text(items).collect()]
     assert sorted(w["pdf"] for w in written) == ["in/a.pdf", "in/b.pdf", "in/c.pdf"]
     assert set(written[0]) == {"pdf", "status", "reason"}
