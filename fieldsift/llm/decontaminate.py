@@ -56,7 +56,7 @@ def item_windows(items: Iterable[tuple[str, str | None]], window: int) -> dict[s
         for k in range(max(1, len(words) - window + 1) if words else 0):
             pattern = b" " + b" ".join(words[k : k + window]) + b" "
             found.setdefault(pattern.decode("latin-1"), set()).add(item)
-    return {p: sorted(ids) for p, ids in found.items()}
+    return {p: sorted(i for i in ids if i is not None) for p, ids in found.items()}
 
 
 def _windows(items: DataFrame, window: int) -> DataFrame:
@@ -75,9 +75,8 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
 
     rows = items.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     return (
-        rows.where("item_id IS NOT NULL")
-        .mapInArrow(run, "pattern string, item_ids array<string>")
-        .select("pattern", F.explode("item_ids").alias("item_id"))
+        rows.mapInArrow(run, "pattern string, item_ids array<string>")
+        .select("pattern", F.explode_outer("item_ids").alias("item_id"))
         .groupBy("pattern")
         .agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     )
@@ -139,9 +138,7 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
-def _one_pass(docs: DataFrame, windows: list[tuple[str, list[str]]], key: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-
+def _one_pass(docs: DataFrame, shared, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, shared.value)
         for batch in batches:
@@ -170,7 +167,11 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         # At most PASS_BYTES of patterns, on the average over hash classes.
         own = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k)
         held = [(r["pattern"], list(r["item_ids"])) for r in own.collect()]
-        part = _one_pass(texts, held, uuid.uuid4().hex)
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+        part = _one_pass(texts, shared, uuid.uuid4().hex)
+        if passes > 1:  # the driver holds the windows of one pass only
+            part = stored(part, "hits")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found if passes == 1 else _united_passes(found)
 
@@ -202,8 +203,8 @@ def _united_passes(found: DataFrame) -> DataFrame:
             }
         )
 
-    clean = found.groupBy("row").agg(F.max(F.size("items")).alias("n")).where("n = 0")
-    hit = found.where(F.size("items") > 0)
+    clean = found.groupBy("row").agg(F.max(F.size("first_words")).alias("n")).where("n = 0")
+    hit = found.where(F.size("first_words") > 0)
     dirty = hit.join(hit.select("row").distinct(), "row").select(found.columns)
     merged = dirty.groupBy("row").applyInPandas(merge, HIT_SCHEMA)
     rest = found.join(clean, "row", "left_semi").dropDuplicates(["row"])
@@ -226,7 +227,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.when(F.size("items") == 0, F.lit(none)).otherwise(F.sha2(ids, 256)).alias("items_sha256"),
-        (F.size("items") > 0).alias("contaminated"),
+        (n_hit > 0).alias("contaminated"),
         "begins",
         "ends",
     )
@@ -248,8 +249,11 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
         def run(batches, shared=shared, key=uuid.uuid4().hex):
             automaton = _automaton(key, shared.value)
             for batch in batches:
-                free = [not _scan_text(t.as_py(), automaton)[5] for t in batch.column(at)]
+                free = [not _scan_text(t.as_py(), automaton)[1] for t in batch.column(at)]
                 yield batch.filter(pa.array(free, pa.bool_()))
 
         left = left.mapInArrow(run, schema)
+        if passes > 1:
+            left = stored(left, "free")
+            shared.destroy()
     return left

@@ -16,6 +16,7 @@ no rows.  Columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,16 +204,21 @@ def decide(docs: DataFrame, in_history: F.Column | None = None) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, in_history: F.Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of rows equal in id and text one stays, any of them if they differ elsewhere.
+    """
+    mark = uuid.uuid4().hex  # no column of the table has such a name
+    own_digest, kept_id, kept_digest = (f"{n}_{mark}" for n in ("digest", "id", "kept"))
     kept = (
         decide(docs, in_history)
         .where("kept")
-        .select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+        .select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest))
     )
     own = docs.withColumn(
-        "_digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+        own_digest, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     )
-    same = own["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")) & (
-        own["_digest"] == F.col("_kept_digest")
+    same = own["doc_id"].cast("long").eqNullSafe(F.col(kept_id)) & (
+        own[own_digest] == F.col(kept_digest)
     )
-    return own.join(kept, same).dropDuplicates(["doc_id", "_digest"]).select(docs.columns)
+    return own.join(kept, same).dropDuplicates(["doc_id", own_digest]).select(docs.columns)

@@ -34,10 +34,15 @@ AMBIGUOUS = 0.1
 UNKNOWN = "und"
 _SMOOTHING = 0.5
 _SHARPNESS = 6.0
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 _TO_SPACE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter (category L); signs such as a raised 2 are none."""
+    return bool(text) and bool(_PLAIN_LETTER.search(text) or any(map(str.isalpha, text)))
+
+
 def codewords(languages: int) -> np.ndarray:
     """One row of -1 and 1 per language.
 
@@ -135,7 +140,7 @@ class OutputCode:
         unclear = (second - best < AMBIGUOUS) & (len(self.names) > 1)
         names = [self.names[k] for k in order[:, 0]]
         for k, text in enumerate(texts):
-            if not text or not _LETTER.search(text):
+            if not has_letter(text):
                 names[k], chance[k], unclear[k] = UNKNOWN, 0.0, False
         return names, chance, unclear
 

@@ -23,6 +23,7 @@ other than id and text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,6 +39,7 @@ from fieldsift.llm.common import id_and_text, numbered, parts, stored
 CAPACITY = 1024
 END_ID = 2
 CACHED_WORDS = 500_000
+MOST_TAILS = 10_000
 BLOCK_CHARS = 1 << 20
 ROWS_A_SLICE = 200_000
 
@@ -79,7 +81,7 @@ class WordTokens:
 
     Byte-level BPE begins a token before a single space and on both sides of a single line
     break, so the ids of a text are those of its words, each with the space or break before
-    it.  Texts with other white space are encoded as wholes.  The cache lives as long as
+    it.  Texts with other white space, or with the string of an added token, are encoded as wholes.  The cache lives as long as
     the Python worker; it is emptied once it holds about ``CACHED_WORDS``.
     """
 
@@ -87,7 +89,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        # Strings of added tokens, such as an end mark, are one id wherever they occur.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         [self.line_break] = self._encode("\n")
@@ -128,6 +132,8 @@ class WordTokens:
             if len(word) > len(base):
                 tail = word[len(base) :]
                 if tail not in self.tails:
+                    if len(self.tails) >= MOST_TAILS:
+                        self.tails.clear()
                     self.tails[tail] = self._encode(tail).tobytes()
                 held[word] = own + self.tails[tail]
         for k in range(0, len(odd), 4096):
@@ -153,7 +159,9 @@ class WordTokens:
         return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = list(map(single_spaced, texts))
+        split = [
+            None if self.added and self.added.search(t) else single_spaced(t) for t in texts
+        ]
         parts = list(chain.from_iterable(p for p in split if p))
         step = CACHED_WORDS // 2
         found = [x for k in range(0, len(parts), step) for x in self._found(parts[k : k + step])]

@@ -217,7 +217,7 @@ t AS (
   SELECT doc_id, count(DISTINCT k + o) AS n_hit FROM (
     SELECT doc_id, k, unnest(range(0, n)) AS o FROM h) GROUP BY doc_id),
 m AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  SELECT doc_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,

@@ -32,6 +32,7 @@ sets are compared as 64-bit hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -558,6 +559,7 @@ def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     together; rows with a null id stay.
     """
     groups = components(docs, size, percent).where("doc_id <> component_id")
-    gone = groups.select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti")
+    name = f"gone_{uuid.uuid4().hex}"  # no column of the table has such a name
+    gone = groups.select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
     return kept

@@ -32,6 +32,7 @@ def texts():
         parts[rng.randrange(len(parts))] = f"x{k}"
         base.append(" ".join(parts))
     base += [base[3]] * 9 + [None, "", "  \n", "A b", "a  B ", "łąka Ünï", "!!! 123 ???"]
+    base += ["a page<|endoftext|>next page", "<|endoftext|>", "² ½ Ⅷ ①", "x" + "<|endoftext|>\n" * 30]
     base += [words(rng, 30_000), "nospaces" * 4000, "a b c d e a b c d e f"]
     return base
 
@@ -96,7 +97,7 @@ def brute_hits(text, items, window):
             for p in range(len(own) - size + 1):
                 if own[p : p + size] == their[k : k + size]:
                     hit.update(range(p, p + size))
-                    found.add(str(item))
+                    found |= {str(item)} if item is not None else set()
     return len(own), len(hit), sorted(found)
 
 
@@ -104,7 +105,7 @@ def brute_hits(text, items, window):
 def test_decontamination(spark, docs, none, texts, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "PASS_BYTES", limit)
     items = [(1, texts[0]), (2, " ".join(texts[10].split()[:14])), (30, "A, b"), (4, None), (5, "...")]
-    items += [(1, texts[0]), (6, "Ünï"), (7, " ".join(texts[150].split()[2:13]))]
+    items += [(1, texts[0]), (None, texts[20]), (None, texts[10]), (6, "Ünï"), (7, " ".join(texts[150].split()[2:13]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.report(docs, bench).collect()
     assert len(got) == docs.count()
@@ -123,13 +124,15 @@ def test_decontamination(spark, docs, none, texts, monkeypatch, limit):
     assert clean.count() == sum(not r.contaminated for r in got)
     assert decontaminate.report(none, bench).count() == 0
     assert not decontaminate.report(docs, bench.limit(0)).where("contaminated").count()
+    alone = bench.where("item_id IS NULL")  # hits, but no id to list
+    hit = {r.doc_id: (r.contaminated, r.n_items) for r in decontaminate.report(docs, alone).collect()}
+    assert hit[20] == (True, 0) and decontaminate.cleaned(docs, alone).where("doc_id = 20").count() == 0
 
 
 def test_packing(docs, none, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     got = packing.packed(docs, tokenizer_path()).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
@@ -339,20 +342,110 @@ def test_shards_are_written_and_prune(spark, docs, tmp_path):
     assert wide < docs.agg(F.max("n_chars") - F.min("n_chars")).head()[0]
 
 
+MIT = """Copyright (c) 2024 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+GPL3 = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+"""
+LGPL2 = """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAME = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+LICENSED = {
+    1: ("Text. Released under the MIT License.\nMore.", "MIT"),
+    2: (MIT, "MIT"),
+    3: (re.sub(r"(?<!\n)\n(?!\n)", " ", MIT), "MIT"),
+    4: (GPL3, "GPL-3.0-or-later"),
+    5: (GPL3 + GPL3, "GPL-3.0-or-later"),
+    6: (GPL3.replace("\n * ", " "), "GPL-3.0-or-later"),
+    7: (LGPL2, "LGPL-2.1-or-later"),
+    8: (GPL3.replace("General", "Affero General"), "AGPL-3.0-or-later"),
+    9: (BSD, "BSD-2-Clause"),
+    10: (BSD + BSD_NAME, "BSD-3-Clause"),
+    11: (BSD.replace("\n", "\r\n"), "BSD-2-Clause"),
+    12: (APACHE, "Apache-2.0"),
+    13: (APACHE + "\n" + MIT, "Apache-2.0,MIT"),
+    14: (ISC, "ISC"),
+    15: ("intro words here\nLicensed under CC BY-NC 4.0\nmore words and no mark", "CC-BY-NC-4.0"),
+    16: ("SPDX-License-Identifier: MPL-2.0\nint main() {}", "MPL-2.0"),
+    17: ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+    18: ("This work is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    19: (None, ""), 20: ("", ""), 21: ("My own licence terms! Some License.", ""),
+    22: ("A long story without any notice. " * 4000 + GPL3, "GPL-3.0-or-later"),
+    23: (GPL3.replace("either version 3 of the License, or\n * (at your option) any later version", "version 3"),
+         "GPL-3.0-only"),
+}
+
+
 def test_licenses(spark, none):
-    rows = [
-        (1, "Text. Released under the MIT License.\nMore."),
-        (2, "Licensed under the Apache License, Version 2.0. You may not use this file except in "
-            "compliance with the License. You may obtain a copy of the License at"),
-        (3, None), (4, ""), (5, "My own licence terms! Some License."),
-        (6, "Licensed under CC BY-NC 4.0.\nx\nLicensed under CC BY-NC 4.0.\nAll rights reserved."),
-    ]
-    got = {r.doc_id: r for r in license_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[k].licenses for k in range(1, 7)] == ["MIT", "Apache-2.0", "", "", "", "CC-BY-NC-4.0"]
-    assert got[5].n_unknown == 2 and got[6].sentence_ids == "ccbync4,ccbync4"
+    rows = [(k, t, "x", [k]) for k, (t, _) in LICENSED.items()]
+    rows += [(24, "Licensed under CC BY-NC 4.0.\nx\nLicensed under CC BY-NC 4.0.\nAll rights reserved.", "x", [1])]
+    rows += [rows[3], (None, MIT, "x", [1])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, ids string, licenses array<int>")
+    found = license_scan.scanned(table).collect()
+    assert len(found) == len(rows)
+    got = {r.doc_id: r for r in found}
+    assert {k: got[k].licenses for k in LICENSED} == {k: name for k, (_, name) in LICENSED.items()}
+    assert got[None].licenses == "MIT"
+    assert got[21].n_unknown == 2 and got[24].sentence_ids == "ccbync4,ccbync4,reserved"
+    assert got[24].licenses == "CC-BY-NC-4.0"
     assert license_scan.scanned(none).count() == 0
 
 
+def test_the_filter_lets_every_known_sentence_pass():
+    for sentence in license_scan.SENTENCES:
+        assert any(hint in sentence for hint in license_scan.HINTS), sentence
+        assert sentence == sentence.lower() and "  " not in sentence
+    used = {i for _, ids in license_scan.RULES for i in ids}
+    assert used <= set(license_scan.SENTENCES.values())
+
+
 def test_line_dedup(spark):
     def page(k, *lines):
         return (k, f"http://H.example/{k}", "<p>".join(lines), 1)
