@@ -305,39 +305,39 @@ def oracle() -> str:
     for k, (name, ids) in enumerate(RULES):
         pattern = _tags(ids).replace("|", "[|]")
         steps.append(
-            f"s{k} AS (SELECT doc_id, row, regexp_replace(tags, '{pattern}', '|', 'g') AS tags, "
+            f"s{k} AS (SELECT doc_id, num, regexp_replace(tags, '{pattern}', '|', 'g') AS tags, "
             f"CASE WHEN regexp_matches(tags, '{pattern}') THEN list_append(names, '{name}') ELSE names "
             f"END AS names FROM {'t' if k == 0 else f's{k - 1}'})"
         )
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_replace(
+docs AS (SELECT row_number() OVER () AS num, doc_id, regexp_replace(
     replace(coalesce(text, ''), '{_SPDX_MARK}', 'SPDX-License-Identifier '), '(?m)^([ \\t*#/]*[0-9]{{1,2}})[.][ \\t]', '\\1 ', 'g') AS text FROM documents),
 cut AS (
-  SELECT row, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS at FROM (
-    SELECT row, string_split(regexp_replace(text,
+  SELECT num, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS place FROM (
+    SELECT num, string_split(regexp_replace(text,
       '([.!?;:])[ \\t\\r\\n]|\\r?\\n[ \\t*#/]*\\r?\\n', '\\1' || chr(1), 'g'), chr(1)) AS parts
     FROM docs)),
 hinted AS (SELECT * FROM cut WHERE regexp_matches(lower(sentence), '{hints}')),
 found AS (
-  SELECT row, at, sentence, id FROM hinted LEFT JOIN known k ON k.sentence = {plain('hinted.sentence')}),
+  SELECT num, place, hinted.sentence, id FROM hinted LEFT JOIN known k ON k.sentence = {plain('hinted.sentence')}),
 lines AS (
-  SELECT row, at, unnest(parts) AS line, generate_subscripts(parts, 1) AS part FROM (
-    SELECT row, at, string_split_regex(sentence, '[\\r\\n]+') AS parts FROM found WHERE id IS NULL)),
+  SELECT num, place, unnest(parts) AS line, generate_subscripts(parts, 1) AS part FROM (
+    SELECT num, place, string_split_regex(sentence, '[\\r\\n]+') AS parts FROM found WHERE id IS NULL)),
 ids AS (
-  SELECT row, at, 0 AS part, id FROM found WHERE id IS NOT NULL
+  SELECT num, place, 0 AS part, id FROM found WHERE id IS NOT NULL
   UNION ALL
-  SELECT row, at, part, coalesce(id, '{UNKNOWN}') FROM lines LEFT JOIN known k
+  SELECT num, place, part, coalesce(id, '{UNKNOWN}') FROM lines LEFT JOIN known k
     ON k.sentence = {plain('line')} WHERE regexp_matches(lower(line), '{hints}')),
-listed AS (SELECT row, list(id ORDER BY at, part) AS ids FROM ids GROUP BY row),
+listed AS (SELECT num, list(id ORDER BY place, part) AS ids FROM ids GROUP BY num),
 t AS (
-  SELECT row, doc_id, array_to_string(list_transform(coalesce(ids, []),
+  SELECT num, doc_id, array_to_string(list_transform(coalesce(ids, []),
     lambda i: '<' || i || '>'), '') AS tags, CAST([] AS VARCHAR[]) AS names
-  FROM docs LEFT JOIN listed USING (row)),
+  FROM docs LEFT JOIN listed USING (num)),
 {", ".join(steps)}
 SELECT doc_id, CAST(len(coalesce(ids, [])) AS BIGINT) AS n_sentences,
   CAST(len(list_filter(coalesce(ids, []), lambda i: i = '{UNKNOWN}')) AS BIGINT) AS n_unknown,
   coalesce(array_to_string(ids, ','), '') AS sentence_ids,
   array_to_string(list_transform(list_filter(range(1, len(names) + 1),
     lambda k: list_position(names, names[k]) = k), lambda k: names[k]), ',') AS licenses
-FROM s{len(RULES) - 1} LEFT JOIN listed USING (row)"""
+FROM s{len(RULES) - 1} LEFT JOIN listed USING (num)"""
