@@ -42,27 +42,32 @@ EXTRACTED = (
 DIAGNOSED = ("events", "warnings")
 
 
-def line_rows(normalized: Column, lowered: Column, vocab: Vocabulary) -> Column:
+def line_rows(
+    normalized: Column, lowered: Column, vocab: Vocabulary, *, searched: bool = True
+) -> Column:
     """Properties of the meaningful lines, in document order.
 
-    The text is searched for phrases and keywords first, so a line only for those it has.
+    With ``searched`` the text is searched for phrases and keywords first, so a line only for
+    those it has.  That pays where most lines are looked at anyway for other steps; lines that
+    are scored alone are searched directly.
     """
 
-    def rows(found: Column) -> Column:
+    def rows(noise: Column | None, keywords: Column | None) -> Column:
         return F.zip_with(
             split_lines(normalized),
             split_lines(lowered),
             lambda line, low: F.when(
-                has_word(line),
-                scoring.line_properties(line, low, vocab, found["noise"], found["keywords"]),
+                has_word(line), scoring.line_properties(line, low, vocab, noise, keywords)
             ),
         )
 
+    if not searched:
+        return F.array_compact(rows(None, None))
     found = F.struct(
         present(lowered, vocab.noise_phrases).alias("noise"),
         present(lowered, vocab.material_keywords).alias("keywords"),
     )
-    return F.array_compact(let(found, rows))
+    return F.array_compact(let(found, lambda f: rows(f["noise"], f["keywords"])))
 
 
 def best_candidate(candidates: Column) -> Column:
@@ -114,7 +119,7 @@ def viable_lines(scored: Column) -> Column:
 
 @lru_cache(maxsize=16)
 def _ranking_columns(normalized: str, vocab: Vocabulary) -> tuple[Column, Column]:
-    rows = line_rows(F.col(normalized), F.lower(normalized), vocab)
+    rows = line_rows(F.col(normalized), F.lower(normalized), vocab, searched=False)
     candidates = F.filter(F.col("_rows"), lambda row: scoring.candidate_row(row, vocab))
     return rows, candidates
 

@@ -530,8 +530,8 @@ _TOP_MATERIAL = (
 )
 
 
-def _top_material(lines: DataFrame, key: str) -> DataFrame:
-    return line_table.top_material_lines(lines, key).select(
+def _top_material(docs: DataFrame, key: str) -> DataFrame:
+    return line_table.top_material_lines(docs, key).select(
         key, "candidates", F.col("score").cast("bigint").alias("score"),
         F.col("line_no").cast("bigint").alias("line_no"), "line",
     )
@@ -553,8 +553,7 @@ def r1_top_material_line(spark, sf_dir):
     f"{SHEET_BASE}, {O.LINE_TABLE}, {O.CANDIDATES} {_TOP_MATERIAL.format(key='sheet_id')}",
 )
 def r1_top_material_line_sheets(spark, sf_dir):
-    lines = line_table.line_property_table(raw_sheets(spark, sf_dir), "sheet_id")
-    return _top_material(lines, "sheet_id")
+    return _top_material(raw_sheets(spark, sf_dir), "sheet_id")
 
 
 _TOP_DESCRIPTION = (
@@ -563,8 +562,8 @@ _TOP_DESCRIPTION = (
 )
 
 
-def _top_description(lines: DataFrame, key: str) -> DataFrame:
-    return line_table.top_description_lines(lines, key).select(
+def _top_description(docs: DataFrame, key: str) -> DataFrame:
+    return line_table.top_description_lines(docs, key).select(
         key, "viable_lines", F.col("score").cast("bigint").alias("score"),
         F.col("line_no").cast("bigint").alias("line_no"), "description",
     )
@@ -594,7 +593,7 @@ def r2_description_lines_sheets(spark, sf_dir):
     docs = raw_sheets(spark, sf_dir).withColumn(
         "material_type", F.get(meaningful_lines(F.col("raw_text")), F.lit(0))
     )
-    return _top_description(line_table.line_property_table(docs, "sheet_id", "material_type"), "sheet_id")
+    return _top_description(docs, "sheet_id")
 
 
 @query(
