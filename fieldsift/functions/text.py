@@ -67,16 +67,6 @@ def contains_any(text: Column, needles: Sequence[str]) -> Column:
     return F.exists(literal_list(needles), lambda needle: F.contains(text, needle))
 
 
-def present(text: Column, needles: Sequence[str]) -> Column:
-    """Those of the literals that occur, as an array."""
-    return F.filter(literal_list(needles), lambda needle: F.contains(text, needle))
-
-
-def contains_one_of(text: Column, needles: Column) -> Column:
-    """``contains_any`` for an array column."""
-    return F.exists(needles, lambda needle: F.contains(text, needle))
-
-
 def alternation(literals: Iterable[str]) -> str:
     """Regex alternation of quoted literals, in the given order."""
     return "|".join(re.sub(r"([!-/:-@\[-^`{-~])", r"\\\1", item) for item in literals)
