@@ -10,7 +10,8 @@ The automaton goes to every task, so the patterns of one pass are bounded by
 document are united afterwards.  No item, window or document is left out.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless
-item has no windows; repeated items count once by id; an empty benchmark hits nothing.
+item has no windows; repeated items count once by id; windows of items without an id are hits, but no
+id is listed or counted for them; an empty benchmark hits nothing.
 Columns other than id and text are ignored.
 """
 

@@ -539,3 +539,21 @@ def test_cached_words_give_the_ids_of_whole_texts():
         assert own.ids([text]) == [np.array(want, "<u4").tobytes()], text
         if k % 500 == 0:
             own.words.clear()
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    rows = [(1, "a b c d e f", 7, 8, 9, 10), (2, "a b c d e f", 17, 18, 19, 20), (3, None, 27, 28, 29, 30)]
+    table = spark.createDataFrame(
+        rows, "doc_id long, text string, _digest int, _kept_id int, _kept_digest int, _gone_id int"
+    )
+    kept = dedup.deduplicated(table)
+    assert kept.columns == table.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[1], rows[2]]
+    left = similarity.representatives(table)
+    assert left.columns == table.columns
+    assert sorted(map(tuple, left.collect())) == [rows[0], rows[2]]
+
+
+def test_letters():
+    assert not any(map(language.has_letter, (None, "", " 1!", "²", "½", "Ⅷ", "①", "_")))
+    assert all(map(language.has_letter, ("a", "ł", "中", "ª", "1 ж")))
