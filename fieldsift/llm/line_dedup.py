@@ -1,17 +1,22 @@
 """Boilerplate lines by their frequency on a site.
 
 Pages are grouped by host.  A line is boilerplate on a host if more than ``ratio`` of the
-host's pages contain it and at least ``least_pages`` do; such lines are dropped.
+host's pages contain it and at least ``least_pages`` do (two, so that the only page of a
+host does not lose all its lines); such lines are dropped.
 
 Only hashes of lines are shuffled for the counts, combined before the shuffle, so a host
 with a third of all pages is counted in parts.  A host has at most (lines a page) / ratio
-boilerplate lines, so its list fits a row; ``SALTS`` copies of it meet the pages of the
-host, so a hot host is split over as many keys.
+boilerplate lines, so its list fits a row.  The lists are written once and measured: up to
+``BROADCAST_BYTES`` of them go to all tasks and pages stay where they are; more are joined
+by host, with copies of a list by the host's share of all pages (``SPLITS``), so that no key
+holds more than a bounded share.  A line is looked up in its host's sorted list by halving,
+so the work on a page grows with its lines, not with lines times boilerplate lines.
 
 Defined results: a null page text is empty and has no lines; a page without a host keeps
-its lines; repeated pages count as often as they occur; a line repeated on a page counts
-once for the ratio and is dropped wherever it stands; an empty table gives no rows.
-Columns other than id, url and html are ignored.
+its lines; repeated pages (and rows without a page_id) count as often as they occur; a line
+repeated on a page counts once for the ratio and is dropped wherever it stands; a line on
+exactly ``ratio`` of the pages stays; pages of any length are read whole; an empty table
+gives no rows.  Columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldsift.llm.common import stored
 from fieldsift.llm.license_scan import LOWER, UPPER
 
 RATIO = 0.3
-LEAST_PAGES = 3
-SALTS = 32
+LEAST_PAGES = 2
+#: Lists of up to this size are sent to all tasks.
+BROADCAST_BYTES = 8 << 20
+#: A key of the join holds about this part of all pages, or ``KEY_PAGES`` if that is more.
+SPLITS, KEY_PAGES = 65_536, 64
 _HIDDEN = r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->"
 _BLOCKS = (
     r"(?i)</?(address|article|aside|blockquote|body|br|div|dd|dl|dt|footer|form|h[1-6]|head|"
@@ -48,7 +57,7 @@ def host_of(url: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
-    """(host, hashes): the hashes of the lines to drop on a host."""
+    """(host, pages, hashes): a host's page count and the sorted hashes of the lines to drop."""
     known = pages.where("host IS NOT NULL")
     totals = known.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     hashes = F.array_distinct(F.transform(page_lines(F.col("html")), lambda s: F.xxhash64(s)))
@@ -62,32 +71,72 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
         counts.join(totals, "host")
         .where(F.col("found") > F.col("pages") * F.lit(ratio))
         .groupBy("host")
-        .agg(F.collect_set("line").alias("hashes"))
+        .agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list("line")).alias("hashes"))
     )
 
 
-def cleaned(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def holds(ordered: Column, value: Column) -> Column:
+    """Is the value in a sorted array that is not empty?  Halves the range once a step."""
+    size = F.size(ordered)
+    # The last place whose entry is not above the value, found bit by bit from the highest.
+    steps = F.sequence(F.length(F.bin(size)) - 1, F.lit(0))
+
+    def step(place: Column, bit: Column) -> Column:
+        further = place + F.call_function("shiftleft", F.lit(1), bit)
+        return F.when(
+            (further <= size) & (F.get(ordered, further - 1) <= value), further
+        ).otherwise(place)
+
+    place = F.reduce(steps, F.lit(0), step)
+    return F.coalesce(F.get(ordered, place - 1) == value, F.lit(False))
+
+
+def with_lists(pages: DataFrame, lists: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Every page with its host's list as ``hashes``, null where there is none."""
+    held = lists.agg(F.sum(F.size("hashes") * 8 + F.octet_length("host") + 16)).first()[0] or 0
+    if held <= broadcast_bytes:
+        return pages.join(F.broadcast(lists.select("host", "hashes")), "host", "left")
+    share = F.greatest(pages.agg(F.count(F.lit(1)) / SPLITS).scalar(), F.lit(float(KEY_PAGES)))
+    counted = lists.withColumn("copies", F.ceil(F.col("pages") / share).cast("int"))
+    # At most SPLITS hosts have more than one share, so this side is bounded.
+    large = counted.where("copies > 1").select(F.col("host").alias("large"), "copies")
+    spot = F.xxhash64("page_id", "html")
+    dealt = pages.join(F.broadcast(large), F.col("host") == F.col("large"), "left").select(
+        *pages.columns,
+        # Pages without a host find no list; keys of their own keep them spread.
+        F.when(F.col("host").isNull(), spot)
+        .otherwise(F.pmod(spot, F.coalesce("copies", F.lit(1))))
+        .alias("copy"),
+    )
+    spread = counted.select(
+        F.col("host").alias("listed"),
+        "hashes",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)).alias("number"),
+    )
+    # A stand-in key for pages without a host, as null keys would all meet in one task.
+    key = F.coalesce("host", F.concat(F.lit("\n"), F.col("copy").cast("string")))
+    dealt = dealt.withColumn("key", key)
+    on = (F.col("key") == F.col("listed")) & (F.col("copy") == F.col("number"))
+    return dealt.join(spread, on, "left").select(*pages.columns, "hashes")
+
+
+def cleaned(
+    pages: DataFrame,
+    ratio: float = RATIO,
+    least_pages: int = LEAST_PAGES,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Per page: host, line counts and the text that is left."""
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("html").cast("string").alias("html"),
         host_of(F.col("url").cast("string")).alias("host"),
     )
-    lists = boilerplate(own, ratio, least_pages)
-    # Pages without a host find no list; a key of their own keeps them spread.
-    keyed = own.withColumn(
-        "key", F.coalesce("host", F.concat(F.lit("\n"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-        )
-    )
-    # A host's list is short; copies of it spread the pages of a hot host over tasks.
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int"))
-    copies = lists.withColumnRenamed("host", "key").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    lists = stored(boilerplate(own, ratio, least_pages), "boilerplate")
+    met = with_lists(own, lists, broadcast_bytes)
+    kept = F.when(F.col("hashes").isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda s: ~holds(F.col("hashes"), F.xxhash64(s)))
     )
-    met = salted.join(copies, ["key", "salt"], "left")
-    kept = F.when(
-        F.col("hashes").isNull(), F.col("lines")
-    ).otherwise(F.filter("lines", lambda s: ~F.array_contains("hashes", F.xxhash64(s))))
     return (
         met.withColumn("lines", page_lines(F.col("html")))
         .withColumn("kept", kept)

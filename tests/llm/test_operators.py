@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -446,19 +447,66 @@ def test_the_filter_lets_every_known_sentence_pass():
     assert used <= set(license_scan.SENTENCES.values())
 
 
-def test_line_dedup(spark):
-    def page(k, *lines):
-        return (k, f"http://H.example/{k}", "<p>".join(lines), 1)
+PAGES = "page_id long, url string, html string, host string, lines string, copy long"
+
+
+def page_rows():
+    def page(k, *lines, host="H.example"):
+        return (k, f"http://{host}/{k}", "<p>".join(lines), "x", "y", 7)
 
     rows = [page(k, "menu", f"own {k}", "menu") for k in range(10)]
-    rows += [page(10, "own 1"), (11, None, "menu<br>menu"), (12, "http://b.example/", "menu"), (13, "http://b.example", None)]
-    table = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
-    got = {r.page_id: r for r in line_dedup.cleaned(table).collect()}
-    assert len(got) == 14
-    assert all(got[k].text == f"own {k}" and got[k].n_dropped == 2 for k in range(10))
-    assert got[10].text == "own 1" and got[11].text == "menu\nmenu" and got[12].text == "menu"
-    assert got[13].n_lines == 0
-    assert line_dedup.cleaned(table.limit(0)).count() == 0
+    rows += [page(10, "own 1"), (11, None, "menu<br>menu", "x", "y", 7)]
+    rows += [page(12, "menu", host="b.example"), (13, "http://b.example", None, None, None, None)]
+    # Two pages of a host hold the banner; of ten pages, three are exactly the ratio.
+    rows += [page(k, "banner", f"t{k}", host="two.example") for k in (14, 15)]
+    rows += [page(20 + k, "tie" if k < 3 else "no", f"u{k}", "four" if k < 4 else "", host="c.example") for k in range(10)]
+    rows += [page(None, "again", "again", host="d.example")] * 3 + [page(40, "", host="d.example")]
+    return rows
+
+
+def brute_lines(rows, ratio, least):
+    host = lambda url: url.split("/")[2].lower() if url else None
+    split = lambda html: [s.strip() for s in re.split("<p>|<br>", html or "") if s.strip()]
+    pages = Counter(host(r[1]) for r in rows)
+    found = Counter((host(r[1]), s) for r in rows for s in set(split(r[2])))
+    out = []
+    for r in rows:
+        h, own = host(r[1]), split(r[2])
+        gone = lambda s: h and found[h, s] >= least and found[h, s] > ratio * pages[h]  # noqa: E731,B023
+        kept = [s for s in own if not gone(s)]
+        out.append((r[0], h, len(own), len(own) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [line_dedup.BROADCAST_BYTES, -1])
+def test_line_dedup(spark, broadcast_bytes, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEY_PAGES", 3)
+    rows = page_rows()
+    table = spark.createDataFrame(rows, PAGES)
+    got = line_dedup.cleaned(table, broadcast_bytes=broadcast_bytes)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_lines(rows, 0.3, 2)
+    by_id = {r.page_id: r for r in got.collect()}
+    assert all(by_id[k].text == f"own {k}" and by_id[k].n_dropped == 2 for k in range(10))
+    assert by_id[14].text == "t14" and by_id[20].text == "tie\nu0" and by_id[21].n_dropped == 1
+    assert by_id[11].text == "menu\nmenu" and by_id[12].text == "menu" and by_id[13].n_lines == 0
+    assert line_dedup.cleaned(table.limit(0), broadcast_bytes=broadcast_bytes).count() == 0
+
+
+def test_search_in_sorted_lists(spark):
+    rows = [(sorted(set(range(0, 3 * n, 3))), v) for n in range(1, 40) for v in range(-1, 3 * n + 1)]
+    table = spark.createDataFrame(rows, "a array<long>, v long")
+    got = table.select("a", "v", line_dedup.holds(F.col("a"), F.col("v")).alias("in")).collect()
+    assert all(r["in"] == (r.v in r.a) for r in got)
+
+
+def test_line_dedup_of_a_very_long_page(spark):
+    lines = "<p>".join(f"line {k}" for k in range(200_000))
+    rows = [(k, "http://h/", lines + f"<p>own {k}") for k in range(2)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    start = time.monotonic()
+    got = line_dedup.cleaned(table).collect()
+    assert {(r.n_lines, r.n_dropped, r.text) for r in got} == {(200_001, 200_000, f"own {k}") for k in range(2)}
+    assert time.monotonic() - start < 60
 
 
 def test_language_model(docs, none, texts):
