@@ -13,7 +13,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldsift.functions.text import LOWER, WORD, alternation, contains_any, let
+from fieldsift.functions.text import LOWER, WORD, alternation, contains_any, has_word, let
 from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
 
 NEXT_LINE_MIN_SCORE = 9
@@ -27,13 +27,26 @@ def is_product_code(line: Column) -> Column:
 
 def has_excluded_prefix(low: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     """The line starts with an excluded label that ends at a word border."""
+    if isinstance(vocab.excluded_prefixes, Column):
+
+        def ends_at_border(prefix: Column) -> Column:
+            following = F.substring(low, F.length(prefix) + 1, F.lit(1))
+            return F.startswith(low, prefix) & ~has_word(following)
+
+        return F.exists(vocab.excluded_prefixes, ends_at_border)
     return F.rlike(low, F.lit(rf"^(?:{alternation(vocab.excluded_prefixes)})(?:\z|[^{WORD}])"))
 
 
+def is_excluded_header(low: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
+    if isinstance(vocab.excluded_headers, Column):
+        return F.array_contains(vocab.excluded_headers, low)
+    return low.isin(*vocab.excluded_headers)
+
+
 def is_candidate(low: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     """The line may be a material type."""
     return (
-        (low != "") & ~low.isin(*vocab.excluded_headers) & ~has_excluded_prefix(low, vocab)
+        (low != "") & ~is_excluded_header(low, vocab) & ~has_excluded_prefix(low, vocab)
     )
 
 
@@ -65,7 +78,7 @@ def line_properties(line: Column, low: Column, vocab: Vocabulary = DEFAULT_VOCAB
 
 def candidate_row(row: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     """P3 on a properties struct."""
-    return ~row["has_prefix"] & ~row["low"].isin(*vocab.excluded_headers)
+    return ~row["has_prefix"] & ~is_excluded_header(row["low"], vocab)
 
 
 def _weigh(*terms: tuple[Column, int]) -> Column:
@@ -74,7 +87,7 @@ def _weigh(*terms: tuple[Column, int]) -> Column:
 
 def _widened(known: Column, base: tuple[str, ...], full: tuple[str, ...], low: Column) -> Column:
     """Does ``low`` hold a word of ``full``, given the answer for ``base``?"""
-    if not set(base) <= set(full):
+    if isinstance(full, Column) or isinstance(base, Column) or not set(base) <= set(full):
         return contains_any(low, full)
     extra = [word for word in full if word not in base]
     return (known | contains_any(low, extra)) if extra else known

@@ -60,8 +60,13 @@ def literal_list(items: Iterable[str]) -> Column:
     return F.split(F.lit("\n".join(items)), "\n")
 
 
-def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    """True when one of the literals occurs (byte search, no regex)."""
+def contains_any(text: Column, needles: Sequence[str] | Column) -> Column:
+    """True when one of the literals, or of the strings of an array column, occurs.
+
+    A byte search, no regex.
+    """
+    if isinstance(needles, Column):
+        return F.exists(needles, lambda needle: F.contains(text, needle))
     if len(needles) <= SHORT_LIST:
         return any_of([F.contains(text, F.lit(n)) for n in needles])
     return F.exists(literal_list(needles), lambda needle: F.contains(text, needle))

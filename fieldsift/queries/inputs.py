@@ -9,12 +9,14 @@ input; what is computed from it is written separately on each side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldsift.operators.vocabularies import DEFAULT_NAME, vocabulary_table
 from fieldsift.session import run_folder
 from fieldsift.sources.documents import spread
 from fieldsift.sources.listing import opened
+from fieldsift.vocab import DEFAULT_VOCABULARY
 
 SHEET_MIN_CHARS = 60
 
@@ -323,3 +325,37 @@ TEMPLATES_SQL = (
     f"SELECT {TEMPLATE_PATH_SQL} AS template_path, {TEMPLATE_TEXT_SQL} AS template_text "
     "FROM nation WHERE n_regionkey <> 4"
 )
+
+
+#: Vocabularies by language: the most frequent long words of its documents are keywords.
+VOCABULARY_WORDS = 12
+USUAL_LANGUAGE = "en"
+LONG_WORD = "[a-z]{7,}"
+LOWERED_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+VOCABULARY_WORDS_SQL = f"""language_words AS (
+  SELECT lang, word FROM (
+    SELECT lang, unnest(regexp_extract_all({LOWERED_SQL}, '{LONG_WORD}')) AS word
+    FROM documents WHERE lang <> '{USUAL_LANGUAGE}')
+  GROUP BY lang, word
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word)
+    <= {VOCABULARY_WORDS}),
+language_lists AS (SELECT lang, list(word) AS words FROM language_words GROUP BY lang)"""
+
+
+def vocabulary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary table: the usual lists, and keywords of every other language."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("lang") != USUAL_LANGUAGE)
+    found = F.expr(f"explode(regexp_extract_all({LOWERED_SQL}, '{LONG_WORD}', 0))")
+    counts = docs.select("lang", found.alias("word")).groupBy("lang", "word").count()
+    place = F.row_number().over(
+        Window.partitionBy("lang").orderBy(F.col("count").desc(), F.col("word"))
+    )
+    # Spark keeps the first few of each language before the exchange (WindowGroupLimit).
+    words = counts.withColumn("place", place).where(F.col("place") <= VOCABULARY_WORDS)
+    learned = words.select(
+        F.col("lang").alias("vocabulary"), F.lit("material_keywords").alias("list"), "word"
+    )
+    folder = run_folder(spark, "vocabulary_words")
+    learned.write.parquet(folder)
+    usual = vocabulary_table(spark, {DEFAULT_NAME: DEFAULT_VOCABULARY})
+    return usual.unionByName(spark.read.schema(learned.schema).parquet(folder))

@@ -96,7 +96,8 @@ def _sum(*terms: tuple[str, int]) -> str:
     return " + ".join(f"CASE WHEN {cond} THEN {w} ELSE 0 END" for cond, w in terms)
 
 
-def material_score(line: str) -> str:
+def material_score(line: str, keyword: str | None = None) -> str:
+    """``keyword``: SQL that says whether the lower-case line holds one, if not the usual."""
     low = f"lower({line})"
     words = f"len(regexp_extract_all({low}, '[{WD}]+'))"
     return "(" + _sum(
@@ -107,7 +108,7 @@ def material_score(line: str) -> str:
         (f"{words} >= 3", 4),
         (f"length({line}) >= 20", 3),
         (f"regexp_matches({line}, '\\p{{Ll}}')", 2),
-        (holds(low, V.material_keywords), 5),
+        (keyword or holds(low, V.material_keywords), 5),
     ) + ")"
 
 

@@ -37,6 +37,7 @@ from fieldsift.operators.barrier import evaluate_once
 from fieldsift.operators.diagnostics import diagnostics_text, explode_events
 from fieldsift.operators.gate import DEFAULT_MIN_CHARS, quarantine, text_gate
 from fieldsift.operators.pages import assemble_pages
+from fieldsift.operators.vocabularies import attach_vocabulary, vocabulary_of
 from fieldsift.plans import workflows
 from fieldsift.queries import inputs
 from fieldsift.queries import oracle as O
@@ -80,12 +81,13 @@ def sheets(spark, sf_dir):
     return inputs.sheets(spark, sf_dir)
 
 
-def raw_documents(spark, sf_dir, passed_only=False):
+def raw_documents(spark, sf_dir, passed_only=False, keep=()):
     """Documents with their normalised text, as the line work sees it."""
     gated = text_gate(documents(spark, sf_dir), min_chars=DOC_CHARS)
     gated = gated.where("gate_passed") if passed_only else gated
     return gated.select(
         "doc_id",
+        *keep,
         F.when(F.col("gate_passed"), normalize_text(F.col("gate_text"))).alias("raw_text"),
     )
 
@@ -556,6 +558,56 @@ def r1_top_material_line_sheets(spark, sf_dir):
     return _top_material(raw_sheets(spark, sf_dir), "sheet_id")
 
 
+# --- word lists from a table, one vocabulary per document ------------------------
+_OWN_WORD = (
+    "CASE WHEN words IS NULL THEN {usual} "
+    "ELSE len(list_filter(words, lambda w: contains(lower(line), w))) > 0 END"
+).format(usual=O.holds("lower(line)", V.material_keywords))
+_VOCABULARY_LINES = (
+    f"{DOC_BASE}, {O.LINE_TABLE}, {inputs.VOCABULARY_WORDS_SQL}, own_lines AS ("
+    f"SELECT k, line, line_no, {O.material_score('line', _OWN_WORD)} AS score FROM line_table "
+    "JOIN (SELECT doc_id AS k, lang FROM documents) USING (k) LEFT JOIN language_lists USING (lang))"
+)
+
+
+def _documents_with_word_lists(spark, sf_dir):
+    return attach_vocabulary(
+        raw_documents(spark, sf_dir, keep=("lang",)),
+        inputs.vocabulary_words(spark, sf_dir),
+        vocabulary="lang",
+        spread_by="doc_id",
+    )
+
+
+@query(
+    "t15_material_score_vocabularies",
+    f"{_VOCABULARY_LINES} SELECT k AS doc_id, CAST(line_no AS BIGINT) AS line_no, "
+    "CAST(score AS BIGINT) AS score FROM own_lines",
+)
+def t15_material_score_vocabularies(spark, sf_dir):
+    docs = _documents_with_word_lists(spark, sf_dir)
+    own = vocabulary_of(F.col("word_lists"))
+    lines = line_table.line_property_table(docs, "doc_id", vocab=own)
+    return bigints(line_table.material_line_scores(lines, "doc_id"), "line_no", "score")
+
+
+@query(
+    "r1_top_material_line_vocabularies",
+    f"{_VOCABULARY_LINES}, own_candidates AS (SELECT * FROM own_lines "
+    f"WHERE {O.candidate('lower(line)')}), own_top AS (SELECT k, line, score FROM own_candidates "
+    "QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, line_no) = 1), "
+    "own_counts AS (SELECT k, count(*) AS n FROM own_candidates GROUP BY k) "
+    "SELECT k AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS candidates, "
+    "CAST(score AS BIGINT) AS score, line "
+    "FROM lists LEFT JOIN own_counts USING (k) LEFT JOIN own_top USING (k) WHERE passed",
+)
+def r1_top_material_line_vocabularies(spark, sf_dir):
+    docs = _documents_with_word_lists(spark, sf_dir).where(F.col("raw_text").isNotNull())
+    own = vocabulary_of(F.col("word_lists"))
+    best = extract.rank_material_lines(docs, "doc_id", "word_lists", vocab=own)
+    return bigints(best.drop("word_lists"), "candidates", "score")
+
+
 _TOP_DESCRIPTION = (
     "SELECT k AS {key}, CAST(n AS BIGINT) AS viable_lines, CAST(score AS BIGINT) AS score, "
     "CAST(line_no AS BIGINT) AS line_no, description FROM top_description JOIN viable USING (k)"
