@@ -10,8 +10,8 @@ The score below which a document counts as bad is a quantile of the scores of th
 documents: the share of label 0 among them.  Scores are shifted so that this threshold is
 ``THRESHOLD`` and pass through the logistic function.
 
-Labelled rows to learn from are bounded by ``LEARN_ROWS``, taken by a hash of the id, and the
-pairs made of them by ``PAIRS``; all rows are scored.
+Labelled rows to learn from are bounded by ``LEARN_ROWS``, taken by a hash of the id; each of
+them is in ``PAIRS_A_ROW`` pairs or more.  All rows are scored.
 
 Defined results: a null or empty text has the features of no words; a document with
 several labels has their majority, ties count as 1; rows with a null id or label teach
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from fieldsift.llm.common import drawn, id_and_text
 
 LEARN_ROWS = 16_000
-PAIRS_A_ROW, PAIRS = 4, 60_000
+PAIRS_A_ROW = 4
 BINS = 12
 THRESHOLD = 0.7
 _RIDGE = 2.0
@@ -120,8 +120,7 @@ def fit(values: np.ndarray, good: np.ndarray) -> Ranking | None:
     rng = np.random.Generator(np.random.PCG64(5))
     wins = better[rng.permutation(pairs) % len(better)]
     losses = worse[rng.permutation(pairs) % len(worse)]
-    pairs = min(pairs, PAIRS)
-    difference = coded[wins[:pairs]] - coded[losses[:pairs]]
+    difference = coded[wins] - coded[losses]
     weights = np.zeros(coded.shape[1])
     for _ in range(12):
         chance = 1 / (1 + np.exp(-np.clip(difference @ weights, -30, 30)))
