@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift import schemas
 from fieldsift.functions.paths import in_folder, parent
+from fieldsift.functions.remembered import remembered
 from fieldsift.operators.lookup import DEFAULT_SALTS, lookup, only_row
+from fieldsift.operators.records import read_contexts
+from fieldsift.session import run_folder
 from fieldsift.vocab import ATTACHMENTS_PLACEHOLDER
 
 CONTEXT_NAME = "context.json"
@@ -35,7 +36,7 @@ def attachments_text(attachments: Column) -> Column:
     ).otherwise(F.lit(ATTACHMENTS_PLACEHOLDER))
 
 
-@lru_cache(maxsize=16)
+@remembered
 def approval_columns(context: str = "context", material: str | None = None) -> tuple[Column, ...]:
     """The twelve render columns plus the structured attachments.
 
@@ -56,6 +57,37 @@ def approval_columns(context: str = "context", material: str | None = None) -> t
     )
 
 
+def needed_contexts(
+    docs: DataFrame,
+    files: DataFrame,
+    *,
+    path: str = "path",
+    content: str = "content",
+    source_path: str = "source_path",
+    explicit_path: str | None = None,
+    working_folder: str = "",
+) -> DataFrame:
+    """The contexts that ``docs`` can be given, as a stored table for ``resolve_contexts``.
+
+    The places that documents look in are few where folders hold many documents.  Files are
+    reduced to those places before any is parsed, and each is read and parsed once: the
+    lookups of ``resolve_contexts`` then read the table, the one of the working folder by a
+    filter that reaches its scan.  A file that no document asks for has no row.
+    """
+    nearby = in_folder(parent(F.col(source_path)), CONTEXT_NAME)
+    place = nearby if explicit_path is None else F.coalesce(F.col(explicit_path), nearby)
+    usual = in_folder(F.lit(working_folder), CONTEXT_NAME)
+    spark = files.sparkSession
+    # Distinct before the union: the one usual place may then come twice, which a semi join allows.
+    places = docs.select(place.alias("_place")).distinct()
+    places = places.unionByName(spark.range(1).select(usual.alias("_place")))
+    asked = files.join(places, files[path] == F.col("_place"), "left_semi")
+    parsed = read_contexts(asked, path=path, content=content)
+    folder = run_folder(spark, "contexts")
+    parsed.write.parquet(folder)
+    return spark.read.schema(parsed.schema).parquet(folder)
+
+
 def resolve_contexts(
     docs: DataFrame,
     contexts: DataFrame,
@@ -71,7 +103,7 @@ def resolve_contexts(
     one in the working folder.  The winner is picked by existence: a nearer context
     that is invalid is an error, not a reason to look further.  As an explicit path
     excludes the other places, one lookup key per document is enough.  ``contexts``
-    is the output of ``read_contexts``, one row per path.
+    is the output of ``read_contexts`` or ``needed_contexts``, one row per path.
     """
     explicit = F.lit(None).cast("string") if explicit_path is None else F.col(explicit_path)
     nearby = in_folder(parent(F.col(source_path)), CONTEXT_NAME)

@@ -6,12 +6,11 @@ nothing unless a query selects them.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift import schemas
+from fieldsift.functions.remembered import remembered
 from fieldsift.functions.text import none_if_empty, preview, python_repr
 
 CANDIDATE_CHARS = 40
@@ -66,7 +65,7 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-@lru_cache(maxsize=1)
+@remembered
 def event_list() -> Column:
     """Events in the order the steps run; empty for documents that never ran."""
     label_m, section_m = F.col("_label_material"), F.col("_section_material")

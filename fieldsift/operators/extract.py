@@ -9,8 +9,6 @@ labelled document never pays for ranking.  A line is carried as a struct
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from fieldsift.functions import scoring
 from fieldsift.functions.declaration import declaration_identifier
 from fieldsift.functions.labels import labeled_value
 from fieldsift.functions.normalize import normalize_text
+from fieldsift.functions.remembered import remembered
 from fieldsift.functions.sections import section_body, section_title
 from fieldsift.functions.text import (
     collapse,
@@ -98,7 +97,7 @@ def viable_lines(scored: Column) -> Column:
     return F.size(F.filter(scored, lambda row: row["score"] > 0))
 
 
-@lru_cache(maxsize=16)
+@remembered
 def _ranking_columns(normalized: str, vocab: Vocabulary) -> tuple[Column, Column]:
     rows = line_rows(F.col(normalized), F.lower(normalized), vocab)
     candidates = F.filter(F.col("_rows"), lambda row: scoring.candidate_row(row, vocab))
@@ -169,7 +168,7 @@ def missing_fields_error(missing: Column) -> Column:
     )
 
 
-@lru_cache(maxsize=16)
+@remembered
 def cascade(
     vocab: Vocabulary = DEFAULT_VOCABULARY, described: bool = True
 ) -> tuple[dict[str, Column], ...]:

@@ -7,12 +7,11 @@ window nor a group collected into one task is needed, however many lines one doc
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift.functions import scoring
+from fieldsift.functions.remembered import remembered
 from fieldsift.functions.text import collapse, meaningful_lines, strip_punct
 from fieldsift.operators.extract import line_rows
 from fieldsift.vocab import DEFAULT_VOCABULARY, Vocabulary
@@ -26,7 +25,7 @@ def line_table(docs: DataFrame, *keys: str, normalized: str = "raw_text") -> Dat
     return lines.select(*keys, (F.col("_pos") + 1).alias("line_no"), "line")
 
 
-@lru_cache(maxsize=16)
+@remembered
 def _property_rows(normalized: str, vocab: Vocabulary) -> Column:
     return line_rows(F.col(normalized), F.lower(normalized), vocab)
 

@@ -6,13 +6,14 @@ VARIANT keeps the JSON types, so a number is not silently read as a string.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift import schemas
 from fieldsift.functions.paths import suffix
+from fieldsift.functions.remembered import remembered
 from fieldsift.functions.text import let
 from fieldsift.operators.barrier import evaluate_once
 
@@ -60,6 +61,7 @@ def _string_error(record: Column, name: str, required: bool, nullable: bool) ->
 
 
 REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+_SETTING = Lock()
 
 
 def _list_errors(record: Column, name: str) -> Column:
@@ -106,7 +108,7 @@ def record_struct(record: Column, fields: dict[str, tuple[str, bool]]) -> Column
     return F.struct(*[field(n, kind).alias(n) for n, (kind, _) in fields.items()])
 
 
-@lru_cache(maxsize=16)
+@remembered
 def _parsing(content: str, kind: str) -> tuple[dict[str, Column], ...]:
     """Columns that turn a JSON text into a VARIANT record and its errors."""
     fields, record = FIELDS[kind], F.col("_record")
@@ -129,19 +131,24 @@ def parse_one_value(content: Column) -> Column:
 
 
 def _parsed(files: DataFrame, content: str, kind: str) -> DataFrame:
-    """Parse with the last of repeated keys, whatever the session's setting."""
+    """Parse with the last of repeated keys, whatever the session's setting.
+
+    The setting is read when the expressions are analysed.  Threads take turns, so none puts
+    back what another one has set.
+    """
     conf = files.sparkSession.conf
-    before = conf.get(REPEATED_KEYS)
-    conf.set(REPEATED_KEYS, "true")  # read when the expressions are analysed
-    try:
-        for columns in _parsing(content, kind):
-            files = files.withColumns(columns)
-    finally:
-        conf.set(REPEATED_KEYS, before)
+    with _SETTING:
+        before = conf.get(REPEATED_KEYS)
+        conf.set(REPEATED_KEYS, "true")
+        try:
+            for columns in _parsing(content, kind):
+                files = files.withColumns(columns)
+        finally:
+            conf.set(REPEATED_KEYS, before)
     return files
 
 
-@lru_cache(maxsize=16)
+@remembered
 def _context_columns(path: str, content: str) -> tuple[Column, ...]:
     kind, record = suffix(F.col(path)), F.col("_record")
     load_error = (
@@ -181,7 +188,7 @@ def read_contexts(
     return evaluate_once(rows, "context_path")
 
 
-@lru_cache(maxsize=16)
+@remembered
 def _material_columns(path: str) -> tuple[Column, ...]:
     record = F.col("_record")
     problems = (

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift import schemas
+from fieldsift.functions.remembered import remembered
 from fieldsift.functions.text import SPACE, WORD
 from fieldsift.operators.lookup import DEFAULT_SALTS, lookup
 
@@ -43,7 +42,7 @@ def fill_template(template: Column, values: Column) -> Column:
     return F.concat(F.array_join(filled, ""), tail)
 
 
-@lru_cache(maxsize=1)
+@remembered
 def render_values() -> Column:
     """The twelve named values of an approval row, as a map."""
     return F.create_map(

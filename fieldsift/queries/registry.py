@@ -30,6 +30,7 @@ from fieldsift.operators import templates as template_ops
 from fieldsift.operators.approval import (
     attach_context,
     attachments_text,
+    needed_contexts,
     resolve_contexts,
     select_attachments,
 )
@@ -1034,6 +1035,22 @@ def j2_context_resolution(spark, sf_dir):
     )
 
 
+@query(
+    "j2_needed_contexts",
+    f"{_CONTEXTS}, {O.SHEETS}, {O.RESOLVED} SELECT k AS sheet_id, context_path, context_status, "
+    f"context_error, {O.text_of('json', 'investor_name')} AS investor_name FROM resolved",
+)
+def j2_needed_contexts(spark, sf_dir):
+    """Like ``j2_context_resolution``, from the files themselves: only asked ones are parsed."""
+    docs = sheets(spark, sf_dir).select("sheet_id", "source_path", "explicit_context")
+    known = needed_contexts(
+        docs, inputs.context_files(spark, sf_dir), explicit_path="explicit_context"
+    )
+    return resolve_contexts(docs, known, explicit_path="explicit_context").select(
+        "sheet_id", "context_path", "context_status", "context_error", "context.investor_name"
+    )
+
+
 @query(
     "j2_context_of_documents",
     f"{_CONTEXTS}, src AS (SELECT doc_id AS k, {inputs.DOCUMENT_PATH_SQL} AS path, "

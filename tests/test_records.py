@@ -5,7 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fieldsift.operators.approval import attachments_text, resolve_contexts, select_attachments
+from fieldsift.operators.approval import (
+    attachments_text,
+    needed_contexts,
+    resolve_contexts,
+    select_attachments,
+)
 from fieldsift.operators.pages import assemble_pages
 from fieldsift.operators.records import read_contexts, read_materials
 from fieldsift.operators.templates import fill_template, split_templates
@@ -137,6 +142,52 @@ def test_context_precedence(spark, salts):
     assert nowhere[0] is None and "Add context.json next to the PDF" in nowhere[2]
 
 
+def test_only_needed_contexts_are_parsed_and_each_once(spark, tmp_path):
+    good = json.dumps(COMPLETE)
+    files = [
+        ("given.json", good), ("near/context.json", good), ("broken/context.json", "{"),
+        ("work/context.json", good), ("other/context.json", good), ("near/given.json", good),
+    ]
+    spark.createDataFrame(files, "path string, content string").write.parquet(str(tmp_path / "f"))
+    files = spark.read.parquet(str(tmp_path / "f"))
+    docs = spark.createDataFrame(
+        [("near/a.pdf", "given.json"), ("near/b.pdf", None), ("near/c.pdf", None),
+         ("broken/e.pdf", None), ("far/d.pdf", None), (None, None), ("near/a.pdf", "absent.json")],
+        "source_path string, wanted string",
+    )
+    options = {"explicit_path": "wanted", "working_folder": "work"}
+    known = needed_contexts(docs, files, **options)
+    assert {r.context_path for r in known.collect()} == {
+        "given.json", "near/context.json", "broken/context.json", "work/context.json"
+    }
+    resolved = resolve_contexts(docs, known, **options)
+    whole = resolve_contexts(docs, read_contexts(files), **options)
+    assert sorted(map(str, resolved.collect())) == sorted(map(str, whole.collect()))
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path) not in plan and "EqualTo(context_path,work/context.json)" in plan
+
+
+def test_no_document_needs_no_context_but_the_usual_one(spark):
+    files = spark.createDataFrame(
+        [("context.json", "{"), ("a/context.json", "{")], "path string, content string"
+    )
+    docs = spark.createDataFrame([], "source_path string")
+    assert [r.context_path for r in needed_contexts(docs, files).collect()] == ["context.json"]
+    assert needed_contexts(docs, files.limit(0)).count() == 0
+
+
+def test_threads_do_not_disturb_each_others_parsing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    twice = json.dumps(COMPLETE)[:-1] + ', "manufacturer": "Last"}'
+    with ThreadPoolExecutor(8) as pool:
+        rows = list(pool.map(lambda _: contexts(spark, [("a.json", twice)]).head(), range(16)))
+    assert {r.context.manufacturer for r in rows} == {"Last"}
+    assert spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("salts", [1, 16])
 def test_lookup_of_a_hot_key_is_whole_when_shuffled(spark, salts):
     docs = spark.range(3000).select(
