@@ -31,6 +31,21 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
+#: So many ids at most are sent to all tasks: 16 MB packed, about 80 MB as a hashed table.
+SENT_IDS = 1 << 21
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``gone``, a stored table of distinct ids in one column.
+
+    The ids are counted first.  Up to ``SENT_IDS`` go to the tasks, and no text is moved; more
+    are joined by id.  Rows with a null id stay.
+    """
+    (name,) = gone.columns
+    listed = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
+    return docs.join(listed, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+
+
 def crc_class(doc_id: str, modulus: int) -> F.Column:
     """crc32 of the decimal id, modulo ``modulus``; a null id has class null."""
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(modulus)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldsift.llm.common import id_and_text, parts, stored
+from fieldsift.llm.common import id_and_text, parts, stored, without_ids
 from fieldsift.llm.shingles import mix
 
 DIGESTS_A_BUCKET = 20_000
@@ -206,19 +206,40 @@ def decide(docs: DataFrame, in_history: F.Column | None = None) -> DataFrame:
 def deduplicated(docs: DataFrame, in_history: F.Column | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Of rows equal in id and text one stays, any of them if they differ elsewhere.
+    Of rows equal in id and text one stays, any of them if they differ elsewhere.  Ids of which
+    no row stays are dropped by id, so texts stay where they are (see ``without_ids``).  Ids
+    with rows that stay and rows that go, and null ids if any of their rows goes, are told
+    apart by id and text; only the rows of such ids are moved.
     """
     mark = uuid.uuid4().hex  # no column of the table has such a name
-    own_digest, kept_id, kept_digest = (f"{n}_{mark}" for n in ("digest", "id", "kept"))
-    kept = (
-        decide(docs, in_history)
-        .where("kept")
-        .select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest))
+    own_digest, own_id, kept_digest = (f"{n}_{mark}" for n in ("digest", "id", "kept"))
+    decisions = stored(decide(docs, in_history).select("doc_id", "digest", "kept"), "decisions")
+    stays = F.sum(F.col("kept").cast("long"))
+    changed = stored(
+        decisions.groupBy(F.col("doc_id").alias(own_id))
+        .agg(F.count(F.lit(1)).alias("rows"), stays.alias("stays"))
+        .where("stays < rows")
+        .select(own_id, (F.col("stays") > 0).alias("some")),
+        "changed",
     )
+    whole = without_ids(docs, changed.where(F.col(own_id).isNotNull()).select(own_id))
+    mixed = changed.where(F.col("some") | F.col(own_id).isNull())
+    found = mixed.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(own_id).isNull()).alias("null_ids")
+    ).first()
+    if not found["n"]:
+        return whole
+    if found["null_ids"]:
+        whole = whole.where(F.col("doc_id").isNotNull())
+    kept = decisions.where("kept").join(
+        mixed, F.col("doc_id").eqNullSafe(F.col(own_id)), "left_semi"
+    )
+    kept = kept.select(F.col("doc_id").alias(own_id), F.col("digest").alias(kept_digest))
     own = docs.withColumn(
         own_digest, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     )
-    same = own["doc_id"].cast("long").eqNullSafe(F.col(kept_id)) & (
+    same = own["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (
         own[own_digest] == F.col(kept_digest)
     )
-    return own.join(kept, same).dropDuplicates(["doc_id", own_digest]).select(docs.columns)
+    single = own.join(kept, same).dropDuplicates(["doc_id", own_digest]).select(docs.columns)
+    return whole.unionByName(single)

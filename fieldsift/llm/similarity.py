@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldsift.llm.common import id_and_text, stored
+from fieldsift.llm.common import id_and_text, stored, without_ids
 from fieldsift.llm.components import roots
 from fieldsift.llm.counts import bucket_bits, frequent, least_count
 from fieldsift.llm.shingles import blocks, mix, shingle_sets
@@ -560,6 +560,5 @@ def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     groups = components(docs, size, percent).where("doc_id <> component_id")
     name = f"gone_{uuid.uuid4().hex}"  # no column of the table has such a name
-    gone = groups.select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
-    return kept
+    gone = stored(groups.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return without_ids(docs, gone)
