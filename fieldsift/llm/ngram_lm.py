@@ -1,20 +1,28 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-The next word is drawn in two steps: a class, then a word of the class.  Both are softmax
-models over hashed features of what came before: the last word, the last two words
-together, and the word before last with the last one skipped.  ``CLASSES - 1`` classes
-hold the most frequent words, ``WORDS`` to a class; class 0 stands for all other words,
-which share its probability by their counts plus one, one more part being left for words
-never seen.  So the scores of all possible next words sum to one.
+The next word is drawn by steps down a tree of classes, ``WAYS`` ways at each node.  The root
+holds ``WAYS - 1`` classes of the most frequent words, and one way to the next tier, which
+holds ``WAYS`` times as many words, one level deeper; and so on.  So frequent words are two
+steps away, and the tree grows with the words that occur ``NAMED`` times and are in the word
+table.  The last way of the last tier stands for all other words, which share its probability
+by their counts plus one, one more part being left for words never seen.  The scores of all
+possible next words sum to one.
+
+Every step is a softmax over the ways of its node: the logarithm of their counts, plus weights
+of hashed features of what came before: the last word, the last two words together, and the
+word before last with the last one skipped, each together with the node.  The number of weights
+grows with the training tokens, a row of them for every ``TOKENS_A_ROW``, up to
+``MOST_ROW_BITS`` (32 MB), as each task holds them; the word table takes a ``TYPES_A_WORD``-th
+part of the vocabulary, up to what three tiers hold.
 
 Counts are exact and cover all training tokens: tasks count, packed counts meet by hash
-bucket.  Words frequent enough for a table of fixed size get their count from it while a
+bucket.  Words frequent enough for the word table get their count from it while a
 text is scored; the others are looked up by bucket and summed per document.
 
-Training covers all training documents.  In each of ``ROUNDS`` rounds every task starts
-from the same weights and makes gradient steps over its share of the documents; the steps
-of all tasks are averaged, weighted by tokens, block by block of the weights, and summed
-over ``_TASKS_A_SUM`` tasks first, so no task gets the steps of all others.
+Training covers all training documents once.  They are dealt to ``ROUNDS`` rounds; in each,
+every task starts from the same weights and makes gradient steps over its documents of the
+round; the steps of all tasks are averaged, weighted by tokens, block by block of the weights,
+and summed over ``_TASKS_A_SUM`` tasks first, so no task gets the steps of all others.
 
 Defined results: a null or empty text is its end token alone; without training rows every
 score is 0; a null id is a training row; equal ids are scored one by one; an empty table
@@ -25,6 +33,7 @@ hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -36,12 +45,17 @@ from fieldsift.llm.common import id_and_text, stored
 from fieldsift.llm.counts import bucket_bits, by_bucket, frequent, least_count
 from fieldsift.llm.shingles import blocks, mix, words
 
-CLASSES, WORDS = 32, 32
-FEATURE_BITS = 12
-TABLE_WORDS = 1 << 17
+WAYS = 32
+NAMED = 16
+TOKENS_A_ROW = 2048
+LEAST_ROW_BITS, MOST_ROW_BITS = 16, 18
+TYPES_A_WORD = 16
+#: Words of the tiers below each other; the table never holds more than all of them.
+TIERS = tuple((WAYS - 1) * WAYS**t for t in (1, 2, 3))
+LEAST_TABLE, MOST_TABLE = 1 << 17, sum(TIERS)
 ROUNDS = 2
-STEP_TOKENS = 4096
-RATE = 0.5
+STEP = 4096
+RATE, DAMPING = 4.0, 32.0
 DOCS_A_BUCKET = 256
 _END = np.uint64(0xE4D0E4D0E4D0E4D1)
 _START = np.uint64(0x57A8757A8757A871)
@@ -49,7 +63,9 @@ _SALTS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC
 _FLUSH = 2_000_000
 _WEIGHT_BLOCKS = 64
 _TASKS_A_SUM = 256
-_MISSING = -1e9
+#: Logits stay within these bounds, so no softmax overflows; the least stands for no words.
+_BOUND = 60.0
+_SHORT = 8
 _LN10 = np.log(10)
 
 
@@ -59,8 +75,8 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, first[1:], _END), first + np.arange(len(first))
 
 
-def contexts(sequence: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashed features of what stands before each token, a column for each kind."""
+def contexts(sequence: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Hashed features of what stands before each token, an array for each kind."""
     last = np.concatenate([[_START], sequence[:-1]])
     last[first[:-1]] = _START
     before = np.concatenate([[_START], last[:-1]])
@@ -71,97 +87,184 @@ def contexts(sequence: np.ndarray, first: np.ndarray) -> np.ndarray:
         last * salts[1] + mix(before * salts[2]),
         before * salts[3],
     )
-    shift = np.uint64(64 - FEATURE_BITS)
-    return np.stack([(mix(k) >> shift).astype(np.int32) for k in kinds], axis=1)
+    return [mix(k) for k in kinds]
 
 
-def _softmax_gap(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of the entries ``at``, and all probabilities."""
-    logits -= logits.max(axis=1, keepdims=True)
-    parts = np.exp(logits)
-    total = parts.sum(axis=1)
-    return logits[np.arange(len(at)), at] - np.log(total), parts / total[:, None]
+@cache
+def _scratch() -> list[np.ndarray]:
+    """Memory that the steps of a process use again and again."""
+    return [np.empty((STEP, WAYS), np.float32) for _ in range(3)]
+
+
+def segment_sums(
+    rows: np.ndarray, begins: np.ndarray, many: np.ndarray, out: np.ndarray
+) -> np.ndarray:
+    """Sums of runs of rows: short runs position by position, long ones by a reduction."""
+    np.take(rows, begins, axis=0, out=out, mode="clip")
+    for k in range(1, _SHORT):
+        further = np.flatnonzero((many > k) & (many <= _SHORT))
+        if not len(further):
+            break
+        out[further] += rows[begins[further] + k]
+    long = many > _SHORT
+    if long.any():
+        starts = np.cumsum(many[long]) - many[long]
+        out[long] = np.add.reduceat(rows[np.repeat(long, many)], starts, axis=0)
+    return out
+
+
+def row_bits(tokens_: int) -> int:
+    """The number of weight rows, as a power of two, for so many training tokens."""
+    wanted = int(np.ceil(np.log2(tokens_ / TOKENS_A_ROW + 1)))
+    return min(MOST_ROW_BITS, max(LEAST_ROW_BITS, wanted))
+
+
+def table_words(types: int) -> int:
+    """How many words the word table may hold for such a vocabulary."""
+    return min(MOST_TABLE, max(LEAST_TABLE, types // TYPES_A_WORD))
 
 
 class Model:
-    """Word table, classes and weights; of fixed size."""
+    """Word table, tree and weights.
+
+    ``keys`` are sorted; ``tokens_`` and ``types`` count the whole training text.
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens_: int, types: int) -> None:
         self.keys, self.tokens, self.types = keys, tokens_, types
         self.log_counts = np.log10(counts + 1.0)
-        top = np.lexsort((keys, -counts))[: (CLASSES - 1) * WORDS]
-        self.number = np.full(len(keys), -1, np.int32)
-        self.number[top] = np.arange(len(top))
-        named = int(counts[top].sum())
-        self.rest = (tokens_ - named) + (types - len(top)) + 1
-        bias = np.full(CLASSES * WORDS, 0.0)
-        bias[WORDS:][len(top) :] = _MISSING
-        bias[WORDS : WORDS + len(top)] = np.log(counts[top])
-        self.word_bias = bias.reshape(CLASSES, WORDS).astype(np.float32)
-        classes = np.full(CLASSES, _MISSING)
-        classes[0] = np.log(max(tokens_ - named, 1))
-        for c in range(1, CLASSES):
-            own = counts[top[(c - 1) * WORDS : c * WORDS]]
-            if len(own):
-                classes[c] = np.log(own.sum())
-        self.class_bias = classes.astype(np.float32)
-        self.weights = np.zeros((2, 1 << FEATURE_BITS, WORDS), np.float32)
+        self._prefix = np.uint64(64 - max(1, int(len(keys)).bit_length() + 1))
+        prefixes = np.arange((1 << (64 - int(self._prefix))) + 1, dtype=np.uint64)
+        self._starts = np.searchsorted(keys >> self._prefix, prefixes).astype(np.int32)
+        top = np.lexsort((keys, -counts))[:MOST_TABLE]
+        top = top[counts[top] >= NAMED]
+        self.named = len(top)
+        self.rank = np.full(len(keys) + 1, self.named, np.int64)
+        self.rank[top] = np.arange(self.named)
+        self.rest = (tokens_ - int(counts[top].sum())) + (types - self.named) + 1
+        self.firsts, self.bias = self._tree(counts[top].astype(np.float64))
+        self.bits = row_bits(tokens_)
+        self.weights = np.zeros((1 << self.bits, WAYS), np.float32)
+
+    def _tree(self, counts: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """The number of each tier's root, and the log shares of the ways of all nodes."""
+        left = float(self.tokens)
+        firsts, nodes, at = [], [], 0
+        for t, size in enumerate(TIERS, 1):
+            own = counts[:size]
+            if t > 1 and not len(own):
+                break
+            counts, left = counts[size:], left - own.sum()
+            firsts.append(at)
+            sums = np.zeros(size)
+            sums[: len(own)] = own
+            levels = []
+            for _ in range(t):
+                levels.append(sums.reshape(-1, WAYS))
+                sums = levels[-1].sum(axis=1)
+            levels.append(np.append(max(left, 1.0), sums)[None])
+            nodes.extend(levels[::-1])
+            at += sum(len(x) for x in levels)
+        shares = np.concatenate(nodes)
+        with np.errstate(divide="ignore"):
+            logs = np.log(shares) - np.log(np.maximum(shares.sum(axis=1, keepdims=True), 1e-9))
+        return firsts, np.maximum(logs, -_BOUND).astype(np.float32)
 
     def found(self, sequence: np.ndarray) -> np.ndarray:
         """Places in the word table; -1 for words that are not there."""
         if not len(self.keys):
             return np.full(len(sequence), -1)
-        at = np.minimum(np.searchsorted(self.keys, sequence), len(self.keys) - 1)
-        return np.where(self.keys[at] == sequence, at, -1)
-
-    def numbers(self, at: np.ndarray) -> np.ndarray:
-        """Class and word numbers in one; below ``WORDS`` stands class 0."""
-        own = np.where(at >= 0, self.number[at], -1) if len(self.number) else at
-        return np.where(own >= 0, own + WORDS, 0)
-
-    def _logits(self, features: np.ndarray, number: np.ndarray):
-        kind = number // WORDS
-        named = np.flatnonzero(kind)
-        by_class = self.class_bias + self.weights[0][features].sum(axis=1)
-        spread = (kind[named, None] * 0x9E5 ^ features[named]) & ((1 << FEATURE_BITS) - 1)
-        by_word = self.word_bias[kind[named]] + self.weights[1][spread].sum(axis=1)
-        return kind, named, by_class, spread, by_word
-
-    def log10(self, features: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Log probability of class and word of each token; of class 0 the class alone."""
-        out = np.empty(len(number))
-        for begin in range(0, len(number), STEP_TOKENS):
-            part = slice(begin, begin + STEP_TOKENS)
-            kind, named, by_class, _, by_word = self._logits(features[part], number[part])
-            total, _ = _softmax_gap(by_class, kind)
-            total = total.astype(np.float64)
-            if len(named):
-                total[named] += _softmax_gap(by_word, number[part][named] % WORDS)[0]
-            out[part] = total / _LN10
-        return out
-
-    def learn(self, features: np.ndarray, number: np.ndarray) -> None:
-        """Gradient steps over the tokens, ``STEP_TOKENS`` at a time."""
-        for begin in range(0, len(number), STEP_TOKENS):
-            part = slice(begin, begin + STEP_TOKENS)
-            kind, named, by_class, spread, by_word = self._logits(features[part], number[part])
-            _, chance = _softmax_gap(by_class, kind)
-            chance[np.arange(len(kind)), kind] -= 1
-            self._step(0, features[part], chance)
-            if len(named):
-                _, chance = _softmax_gap(by_word, number[part][named] % WORDS)
-                chance[np.arange(len(named)), number[part][named] % WORDS] -= 1
-                self._step(1, spread, chance)
-
-    def _step(self, layer: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """Move the weights of every feature by its mean gradient, rare ones less."""
-        for kind in range(rows.shape[1]):
-            order = np.argsort(rows[:, kind], kind="stable")
-            ranked = rows[order, kind]
-            begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-            sums = np.add.reduceat(gradient[order], begins, axis=0)
-            many = np.diff(np.append(begins, len(ranked)))
-            self.weights[layer][ranked[begins]] -= RATE * sums / (many[:, None] + 8.0)
+        prefix = sequence >> self._prefix
+        at = self._starts[prefix]
+        end = self._starts[prefix + np.uint64(1)]
+        look = np.flatnonzero(at < end)
+        place = np.full(len(sequence), -1, np.int32)
+        while len(look):
+            here = self.keys[at[look]] == sequence[look]
+            place[look[here]] = at[look[here]]
+            look = look[~here]
+            at[look] += 1
+            look = look[at[look] < end[look]]
+        return place
+
+    def paths(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Steps of the tokens, level by level: token numbers, nodes and ways."""
+        token = np.arange(len(at))
+        rank = self.rank[at]  # place -1 is the last entry: no word of the tree
+        for t, (root, size) in enumerate(zip(self.firsts, TIERS, strict=False), 1):
+            inside = rank < min(size, self.named - sum(TIERS[: t - 1]))
+            yield (
+                token,
+                np.full(len(token), root),
+                np.where(inside, 1 + rank // WAYS**t, 0),
+            )
+            mine, held = token[inside], rank[inside]
+            node = root + 1
+            for depth in range(t - 1, -1, -1):
+                yield mine, node + held // WAYS ** (depth + 1), held // WAYS**depth % WAYS
+                node += (WAYS - 1) * WAYS ** (t - 1 - depth)
+            token, rank = token[~inside], rank[~inside] - size
+
+    def unnamed(self, at: np.ndarray) -> np.ndarray:
+        """Whether a token is shared out by counts, at the end of all tiers."""
+        return self.rank[at] >= self.named
+
+    def _parts(self, features: list[np.ndarray], at: np.ndarray):
+        """The steps of all tokens, ``STEP`` at a time, with their weight rows."""
+        shift, spread = np.uint64(64 - self.bits), np.uint64(_SALTS[2])
+        for token, node, way in self.paths(at):
+            for begin in range(0, len(token), STEP):
+                part = slice(begin, begin + STEP)
+                own, of = token[part], node[part].astype(np.uint64) * np.uint64(_SALTS[1])
+                rows = [(((f[own] ^ of) * spread) >> shift).astype(np.int64) for f in features]
+                yield own, node[part], way[part], rows
+
+    def _softmax(self, node: np.ndarray, way: np.ndarray, rows: list[np.ndarray]):
+        """Log probability of the ways taken; all parts and their totals, in scratch memory."""
+        logits, more = (x[: len(node)] for x in _scratch()[:2])
+        np.take(self.bias, node, axis=0, out=logits, mode="clip")
+        for r in rows:
+            np.take(self.weights, r, axis=0, out=more, mode="clip")
+            logits += more
+        np.clip(logits, -_BOUND, _BOUND, out=logits)
+        taken = logits[np.arange(len(way)), way]
+        np.exp(logits, out=logits)
+        totals = logits @ np.ones(WAYS, np.float32)
+        return taken - np.log(totals), logits, totals
+
+    def log10(self, features: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Log probability of each token; of unnamed ones that of the way to all of them."""
+        out = np.zeros(len(at))
+        for token, node, way, rows in self._parts(features, at):
+            out[token] += self._softmax(node, way, rows)[0]
+        return out / _LN10
+
+    def learn(self, features: list[np.ndarray], at: np.ndarray) -> None:
+        """Gradient steps over the tokens, ``STEP`` softmaxes at a time."""
+        for _, node, way, rows in self._parts(features, at):
+            _, chance, totals = self._softmax(node, way, rows)
+            chance *= (1 / totals)[:, None]
+            chance[np.arange(len(way)), way] -= 1
+            for r in rows:
+                self._move(r, chance)
+
+    def _move(self, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """Move the weights of every row by its mean gradient, rare ones less."""
+        # Sorting 16-bit numbers is a count, not a comparison.
+        order = np.argsort(rows.astype(np.uint16) if self.bits <= 16 else rows, kind="stable")
+        ranked = rows[order]
+        begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        many = np.diff(np.append(begins, len(ranked)))
+        own = ranked[begins]
+        _, moved, sums = (x[: len(rows)] for x in _scratch())
+        np.take(gradient, order, axis=0, out=moved, mode="clip")
+        sums = segment_sums(moved, begins, many, sums[: len(own)])
+        sums *= (RATE / (many + DAMPING)).astype(np.float32)[:, None]
+        held = moved[: len(own)]
+        np.take(self.weights, own, axis=0, out=held, mode="clip")
+        held -= sums
+        row = np.dtype((np.void, self.weights.strides[0]))
+        self.weights.view(row)[own] = held.view(row)
 
 
 def _packed_counts(rows: DataFrame, bits: int) -> DataFrame:
@@ -235,11 +338,10 @@ def _trained(rows: DataFrame, model: Model) -> Model:
             for batch in batches:
                 for block in blocks(t.as_py() for t in batch.column(0)):
                     sequence, first = tokens(block)
-                    number = mine.numbers(mine.found(sequence))
-                    mine.learn(contexts(sequence, first), number)
+                    mine.learn(contexts(sequence, first), mine.found(sequence))
                     seen += len(sequence)
             if seen:
-                moved = ((mine.weights - start.weights) * np.float32(seen)).reshape(_WEIGHT_BLOCKS, -1)
+                moved = (mine.weights - start.weights).astype(np.float16).reshape(_WEIGHT_BLOCKS, -1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(range(_WEIGHT_BLOCKS), pa.int32()),
@@ -249,10 +351,13 @@ def _trained(rows: DataFrame, model: Model) -> Model:
                     ["block", "moved", "seen"],
                 )
 
-        def add(part: pd.DataFrame) -> pd.DataFrame:
+        def add(part: pd.DataFrame, steps: bool) -> pd.DataFrame:
             total = np.zeros(int(np.prod(shape)) // _WEIGHT_BLOCKS)
-            for moved in part["moved"]:
-                total += np.frombuffer(moved, np.float32)
+            for moved, seen in zip(part["moved"], part["seen"], strict=True):
+                if steps:  # of one task, in short numbers; weighted by its tokens from here on
+                    total += np.frombuffer(moved, np.float16).astype(np.float64) * seen
+                else:
+                    total += np.frombuffer(moved, np.float32)
             return pd.DataFrame(
                 {
                     "block": part["block"].iloc[:1],
@@ -264,8 +369,10 @@ def _trained(rows: DataFrame, model: Model) -> Model:
         schema = "block int, moved binary, seen long"
         steps = own.select("text").mapInArrow(run, schema)
         some = F.floor(F.spark_partition_id() / _TASKS_A_SUM)
-        sums = steps.withColumn("some", some).groupBy("block", "some").applyInPandas(add, schema)
-        sums = sums.groupBy("block").applyInPandas(add, schema)
+        sums = steps.withColumn("some", some).groupBy("block", "some").applyInPandas(
+            lambda part: add(part, True), schema
+        )
+        sums = sums.groupBy("block").applyInPandas(lambda part: add(part, False), schema)
         found = {r["block"]: (r["moved"], r["seen"]) for r in sums.collect()}
         if found:
             mean = [np.frombuffer(m, np.float32) / n for _, (m, n) in sorted(found.items())]
@@ -282,7 +389,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     counted = _packed_counts(teaching, bits)
     total = counted.agg(F.sum("tokens"), F.sum("types")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
-    keys, counts = frequent(counted, least_count(counted, TABLE_WORDS))
+    keys, counts = frequent(counted, least_count(counted, table_words(v)))
     model = _trained(teaching, Model(keys, counts, n, v))
     shared = spark.sparkContext.broadcast(model)
     schema = (
@@ -323,9 +430,8 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
                 there = at >= 0
                 logs = np.zeros(len(sequence))
                 logs[there] = own.log_counts[at[there]]
-                number = own.numbers(at)
-                other = number == 0
-                chance = own.log10(contexts(sequence, first), number)
+                other = own.unnamed(at)
+                chance = own.log10(contexts(sequence, first), at)
                 chance[other] += logs[other] - np.log10(own.rest)
                 columns[0].append(np.diff(first))
                 columns[1].append(np.add.reduceat(there.astype(np.int64), begins))

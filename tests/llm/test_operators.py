@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldsift.llm import components, decontaminate, dedup, language, license_scan, line_dedup
-from fieldsift.llm import ngram_lm, packing, quality, sharding, similarity
+from fieldsift.llm import common, ngram_lm, packing, quality, sharding, similarity
 from fieldsift.llm.queries import held_out, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, sig string"
@@ -509,6 +509,29 @@ def test_line_dedup_of_a_very_long_page(spark):
     assert time.monotonic() - start < 60
 
 
+@pytest.mark.parametrize("sent", [common.SENT_IDS, 0])
+def test_deduplicated_rows_of_repeated_and_null_ids(spark, sent, monkeypatch):
+    monkeypatch.setattr(common, "SENT_IDS", sent)
+    rows = [
+        (1, "a"), (1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "c"), (3, None), (4, ""), (5, None),
+        (None, "d"), (None, "d"), (None, "e"), (None, "c"), (6, "x"), (7, "b"), (7, "b"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def brute(rows):
+        best = {}
+        for doc_id, text in rows:
+            key = text or ""
+            best[key] = max(best.get(key, -1), -1 if doc_id is None else doc_id)
+        kept = {(i, t or "") for i, t in rows if best[t or ""] == (-1 if i is None else i)}
+        return sorted(kept, key=str)
+
+    for part in (rows, [r for r in rows if r[0] is not None], rows[:4], rows[9:13], rows[:1]):
+        table = spark.createDataFrame(part, "doc_id long, text string")
+        got = sorted(((r.doc_id, r.text or "") for r in dedup.deduplicated(table).collect()), key=str)
+        assert got == brute(part)
+
+
 def test_language_model(docs, none, texts):
     got = ngram_lm.scored(docs, held_out(7)).collect()
     rows = docs.collect()
@@ -530,29 +553,119 @@ def test_language_model(docs, none, texts):
     assert ngram_lm.scored(none, held_out(7)).count() == 0
 
 
-def test_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    keys = np.sort(rng.integers(1, 1 << 63, 1500, dtype=np.uint64))
-    counts = rng.integers(1, 50, 1500)
-    model = ngram_lm.Model(keys, counts, int(counts.sum()) + 300, 1800)
-    features = rng.integers(0, 4096, (1, 3)).astype(np.int32)
-    for _ in range(3):
-        model.learn(rng.integers(0, 4096, (500, 3)), model.numbers(rng.integers(0, 1500, 500)))
-    named = np.arange(ngram_lm.WORDS, ngram_lm.WORDS * ngram_lm.CLASSES)
-    chance = model.log10(np.repeat(features, len(named), 0), named)
-    rest = model.log10(features, np.array([0]))
+def random_model(words_, seed=0):
+    rng = np.random.default_rng(seed)
+    keys = np.unique(rng.integers(1, 1 << 63, words_, dtype=np.uint64))
+    counts = (rng.pareto(1.0, len(keys)) * 20 + 1).astype(np.int64)
+    return ngram_lm.Model(keys, counts, int(counts.sum()) + 300, len(keys) + 300), rng
+
+
+def random_features(rng, n):
+    return [rng.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(3)]
+
+
+@pytest.mark.parametrize("words_", [0, 1, 500, 3000, 80_000])
+def test_model_probabilities_sum_to_one(words_):
+    model, rng = random_model(words_)
+    for _ in range(3 * (words_ > 0)):
+        model.learn(random_features(rng, 9000), rng.integers(0, len(model.keys), 9000))
+    named = np.flatnonzero(~model.unnamed(np.arange(len(model.keys))))
+    assert len(named) == model.named == (model.log_counts >= np.log10(ngram_lm.NAMED + 1) - 1e-9).sum()
+    one = random_features(rng, 1)
+    chance = model.log10([np.repeat(f, len(named)) for f in one], named)
+    rest = model.log10(one, np.array([-1]))
     assert (10**chance).sum() + (10**rest).sum() == pytest.approx(1, abs=1e-4)
+    assert len(model.firsts) == 1 + (model.named > 992) + (model.named > 992 + 31 * 1024)
+
+
+def test_untrained_model_is_the_counts_and_paths_are_distinct():
+    model, rng = random_model(80_000)
+    at = np.arange(-1, len(model.keys))
+    chance = model.log10(random_features(rng, len(at)), at)
+    named = ~model.unnamed(at)
+    counts = 10 ** model.log_counts - 1
+    assert 10 ** chance[named] * model.tokens == pytest.approx(counts[at[named]], rel=1e-3)
+    taken = [[] for _ in at]
+    for token, node, way in model.paths(at):
+        assert (way < ngram_lm.WAYS).all() and (node < len(model.bias)).all()
+        for k, step in zip(token.tolist(), zip(node.tolist(), way.tolist(), strict=True), strict=True):
+            taken[k].append(step)
+    assert len({tuple(x) for x, own in zip(taken, named, strict=True) if own}) == model.named
+    # Frequent words are two steps away, and no node is met twice on a way.
+    assert {len(x) for x in taken} == {2, 3, 4, 6} and all(len({n for n, _ in x}) == len(x) for x in taken)
+
+
+def test_found_words():
+    for words_ in (0, 1, 2, 5000):
+        model, rng = random_model(words_)
+        asked = np.concatenate([model.keys, rng.integers(0, 1 << 63, 3000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        place = {int(k): i for i, k in enumerate(model.keys)}
+        assert model.found(asked).tolist() == [place.get(int(k), -1) for k in asked]
+
+
+def test_one_gradient_step_by_brute_force():
+    model, rng = random_model(2000)
+    model.weights += rng.normal(0, 0.3, model.weights.shape).astype(np.float32)
+    # Few contexts, so that runs of one row are short and long.
+    features = [rng.choice(f[:k], 40) for f, k in zip(random_features(rng, 40), (1, 5, 40), strict=True)]
+    at = rng.integers(-1, len(model.keys), 40)
+    weights = model.weights.astype(np.float64)
+    shift = 64 - model.bits
+    for token, node, way in model.paths(at):
+        rows = [
+            [
+                ((int(f[k]) ^ (int(n) * ngram_lm._SALTS[1] % 2**64)) * ngram_lm._SALTS[2] % 2**64) >> shift
+                for k, n in zip(token, node, strict=True)
+            ]
+            for f in features
+        ]
+        gradients = []
+        for i in range(len(token)):
+            logits = model.bias[node[i]].astype(np.float64) + sum(weights[r[i]] for r in rows)
+            chance = np.exp(logits) / np.exp(logits).sum()
+            chance[way[i]] -= 1
+            gradients.append(chance)
+        for r in rows:
+            for row in set(r):
+                own = [g for g, x in zip(gradients, r, strict=True) if x == row]
+                weights[row] -= ngram_lm.RATE * sum(own) / (len(own) + ngram_lm.DAMPING)
+    model.learn(features, at)
+    assert np.abs(model.weights - weights).max() < 1e-4
+
+
+def test_model_grows_with_the_corpus():
+    assert ngram_lm.row_bits(0) == 16 and ngram_lm.row_bits(10**9) == 18
+    assert ngram_lm.row_bits(2 * 10**8) == 17
+    assert ngram_lm.table_words(10) < ngram_lm.table_words(10**7) < ngram_lm.table_words(10**9)
+    assert random_model(300)[0].named < random_model(30_000)[0].named
 
 
 def test_model_learns_contexts():
     sequence, first = ngram_lm.tokens([b"a b c d e f g h " * 400] * 3)
     keys, counts = np.unique(sequence, return_counts=True)
     model = ngram_lm.Model(keys, counts, len(sequence), len(keys))
-    features, number = ngram_lm.contexts(sequence, first), model.numbers(model.found(sequence))
-    before = model.log10(features, number).sum()
+    features, at = ngram_lm.contexts(sequence, first), model.found(sequence)
+    before = model.log10(features, at).sum()
     for _ in range(5):
-        model.learn(features, number)
-    assert model.log10(features, number).sum() > 0.8 * before
+        model.learn(features, at)
+    assert model.log10(features, at).sum() > 0.8 * before
+
+
+def test_held_out_texts_gain_over_counts(spark):
+    """Words that follow from the two before them, in texts that taught nothing."""
+    rng = random.Random(8)
+    follow = {k: [rng.randrange(60) for _ in range(3)] for k in range(60)}
+    rows = []
+    for k in range(600):
+        own, word = [], rng.randrange(60)
+        for _ in range(80):
+            word = rng.choice(follow[word])
+            own.append(f"w{word}")
+        rows.append((k, " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = [r for r in ngram_lm.scored(table, held_out(7)).collect() if r.held_out]
+    tokens_ = sum(r.n_tokens for r in out)
+    assert sum(r.score - r.base_score for r in out) / tokens_ > 0.3
 
 
 def test_quality(spark, none):
