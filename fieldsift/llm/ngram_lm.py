@@ -97,19 +97,27 @@ def _scratch() -> list[np.ndarray]:
 
 
 def segment_sums(
-    rows: np.ndarray, begins: np.ndarray, many: np.ndarray, out: np.ndarray
+    rows: np.ndarray, order: np.ndarray, begins: np.ndarray, many: np.ndarray, held: np.ndarray,
+    out: np.ndarray,
 ) -> np.ndarray:
-    """Sums of runs of rows: short runs position by position, long ones by a reduction."""
-    np.take(rows, begins, axis=0, out=out, mode="clip")
-    for k in range(1, _SHORT):
-        further = np.flatnonzero((many > k) & (many <= _SHORT))
-        if not len(further):
+    """Sums of runs of ``rows[order]``; the runs come long ones first, then by falling length.
+
+    Short runs are summed position by position, those that go on being the first so many;
+    long ones by a reduction.  ``held`` is scratch memory of as many rows.
+    """
+    np.take(rows, order[begins], axis=0, out=out, mode="clip")
+    longer = np.cumsum(np.bincount(np.minimum(many, _SHORT + 1), minlength=_SHORT + 2)[:1:-1])[::-1]
+    long = int(longer[-1])
+    for k, end in enumerate(longer[:-1].tolist(), 1):
+        if end == long:
             break
-        out[further] += rows[begins[further] + k]
-    long = many > _SHORT
-    if long.any():
-        starts = np.cumsum(many[long]) - many[long]
-        out[long] = np.add.reduceat(rows[np.repeat(long, many)], starts, axis=0)
+        more = np.take(rows, order[begins[long:end] + k], axis=0, out=held[long:end], mode="clip")
+        out[long:end] += more
+    if long:
+        starts = np.cumsum(many[:long]) - many[:long]
+        at = np.repeat(begins[:long] - starts, many[:long]) + np.arange(starts[-1] + many[long - 1])
+        more = np.take(rows, order[at], axis=0, out=held[: len(at)], mode="clip")
+        np.add.reduceat(more, starts, axis=0, out=out[:long])
     return out
 
 
@@ -255,11 +263,15 @@ class Model:
         ranked = rows[order]
         begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
         many = np.diff(np.append(begins, len(ranked)))
+        falling = np.argsort((_SHORT + 1 - np.minimum(many, _SHORT + 1)).astype(np.uint8), kind="stable")
+        begins, many = begins[falling], many[falling]
         own = ranked[begins]
         _, moved, sums = (x[: len(rows)] for x in _scratch())
-        np.take(gradient, order, axis=0, out=moved, mode="clip")
-        sums = segment_sums(moved, begins, many, sums[: len(own)])
-        sums *= (RATE / (many + DAMPING)).astype(np.float32)[:, None]
+        sums = segment_sums(gradient, order, begins, many, moved, sums[: len(own)])
+        # Most runs are one row, at the end; one factor for all of them.
+        several = np.count_nonzero(many > 1)
+        sums[:several] *= (RATE / (many[:several] + DAMPING)).astype(np.float32)[:, None]
+        sums[several:] *= np.float32(RATE / (1 + DAMPING))
         held = moved[: len(own)]
         np.take(self.weights, own, axis=0, out=held, mode="clip")
         held -= sums
