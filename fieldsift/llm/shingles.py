@@ -45,7 +45,7 @@ _inverses = np.ones(1, np.uint64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = 1 << max(n - 1, 1 << 16).bit_length()
         steps = np.full(size, _BASE, np.uint64)
         steps[0] = 1
         back = np.full(size, _BASE_INVERSE, np.uint64)

@@ -57,7 +57,10 @@ SEEN_BITS_A_BUCKET = 1 << 15
 SEEN_BITS = 1 << 27
 FETCH_SLOTS = 1 << 22
 MOST_CELLS = 1 << 13
-_FLUSH = 2_000_000
+#: What a Python worker holds at once: shingles to count, bytes of text, bytes of index lists.
+_FLUSH = 1_000_000
+_TEXT_BYTES = 1 << 18
+_LIST_BYTES = 1 << 23
 
 SET_SCHEMA = (
     "doc_id long, row long, n int, sig long, tokens array<long>, places array<int>, bits binary"
@@ -100,11 +103,15 @@ def _counted(docs: DataFrame, size: int, bits: int) -> DataFrame:
     cells = min(SEEN_BITS_A_BUCKET, SEEN_BITS >> bits)
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(held) >> shift)
+        keys = np.concatenate(held)
+        held.clear()
+        keys >>= shift
+        keys.sort()
         begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         times = np.diff(np.append(begins, len(keys))).astype(np.uint32)
         keys = keys[begins]
-        bucket = (keys >> np.uint64(32)).astype(np.int64)
+        del begins
+        bucket = (keys >> np.uint64(32)).astype(np.int32)
         own = np.unique(bucket)
 
         def packed(which: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -125,14 +132,13 @@ def _counted(docs: DataFrame, size: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
-            for block in blocks(t.as_py() for t in batch.column(0)):
-                held += [s for s in shingle_sets(block, size) if len(s)]
-                total = sum(map(len, held)) if len(held) < 64 else total + sum(
-                    map(len, held[-len(block) :])
-                )
+            for block in blocks((t.as_py() for t in batch.column(0)), _TEXT_BYTES):
+                found = [s for s in shingle_sets(block, size) if len(s)]
+                held += found
+                total += sum(map(len, found))
                 if total >= _FLUSH:
                     yield pack(held)
-                    held, total = [], 0
+                    total = 0
         if held:
             yield pack(held)
 
@@ -219,7 +225,7 @@ def _sets(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
         own = shared.value
         for batch in batches:
             n, sig, tokens, places, bits = [], [], [], [], []
-            for block in blocks(t.as_py() for t in batch.column(1)):
+            for block in blocks((t.as_py() for t in batch.column(1)), _TEXT_BYTES):
                 for found in shingle_sets(block, size):
                     first, at = own.prefix(found, percent)
                     n.append(len(found))
@@ -256,10 +262,12 @@ class Entries:
         self.left = self.n - table["place"].to_numpy().astype(np.int64)
         self.group = table["group"].to_numpy()
         self.side = table["side"].to_numpy()
-        bits = table["bits"].to_pylist()
-        self.width = np.array([len(b) for b in bits], np.int64) // 8
-        self.start = np.cumsum(self.width) - self.width
-        self.words = np.frombuffer(b"".join(bits), np.uint64)
+        # The bytes of all cells as Arrow holds them, one after the other.
+        bits = pa.concat_arrays(table["bits"].chunks)
+        _, ends, cells = bits.buffers()
+        ends = np.frombuffer(ends, np.int32)[bits.offset : bits.offset + len(bits) + 1]
+        self.start, self.width = ends[:-1].astype(np.int64) // 8, np.diff(ends).astype(np.int64) // 8
+        self.words = np.frombuffer(cells, np.uint64, ends[-1] // 8)
 
     def cells(self, rows: np.ndarray, width: int) -> np.ndarray:
         """Cells of entries of this width, or of twice as many folded into as many."""
@@ -395,7 +403,7 @@ def _pairs(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < 100_000:
+            if sum(b.num_rows for b in held) < 100_000 and sum(b.nbytes for b in held) < _LIST_BYTES:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             token, part = table["token"].to_numpy(), table["part"].to_numpy()
@@ -470,18 +478,18 @@ def _fetched(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             at = batch.column(1).to_numpy()
             hit = marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
             texts = batch.column(0).filter(pa.array(hit.astype(bool)))
-            for block in blocks(t.as_py() for t in texts):
+            for block in blocks((t.as_py() for t in texts), _TEXT_BYTES):
                 sets = shingle_sets(block, size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([set_sig(s) for s in sets], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                     ],
                     ["sig", "hashes"],
                 )
 
     made = id_and_text(docs).select("text", slot.alias("slot")).mapInArrow(
-        run, "sig long, hashes binary"
+        run, "sig long, hashes array<long>"
     )
     return made.join(nodes.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
@@ -493,24 +501,16 @@ def _links(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, size: int, perc
     nodes = stored(firsts.join(ends, "sig").select("sig", "doc_id"), "nodes")
     sets = stored(_fetched(docs, nodes, size), "fetched")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one = np.frombuffer(x.as_py(), np.uint64)
-                two = np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([one, two])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    whole = (
+    # Row by row: batches of thousands of rows with two whole sets would not fit a worker.
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    both = F.size("set_a") + F.size("set_b")
+    compared = (
         pairs.join(sets.toDF("a", "set_a"), "a")
         .join(sets.toDF("b", "set_b"), "b")
-        .select("a", "b", "set_a", "set_b")
+        .select("a", "b", shared.cast("long").alias("shared"), both.cast("long").alias("both"))
     )
-    return stored(whole.mapInArrow(check, "a long, b long"), "links")
+    good = 100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))
+    return stored(compared.where(good).select("a", "b"), "links")
 
 
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
