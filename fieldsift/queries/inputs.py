@@ -179,9 +179,26 @@ def spread_if_set(rows: DataFrame) -> DataFrame:
     return spread(rows, int(partitions)) if partitions else rows
 
 
+#: Tasks for each core, so that slow ones do not leave cores waiting at the end.
+TASKS_A_CORE = 4
+
+
+def spread_widely(rows: DataFrame) -> DataFrame:
+    """Rows dealt to several tasks for each core, unless the table has as many splits already.
+
+    For tables of short rows that texts or files are built from.  Seven million rows of
+    ``part`` are 65 MB, one split, and as texts the work of one task for half an hour.
+    """
+    session = rows.sparkSession
+    if session.conf.get(PARTITIONS_SETTING, None):
+        return spread_if_set(rows)
+    wanted = TASKS_A_CORE * session.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= wanted else spread(rows, wanted)
+
+
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sheet_id, source_path, text, explicit_context, template_path, explicit_output``."""
-    return spread_if_set(load(spark, sf_dir, "part")).selectExpr(
+    return spread_widely(load(spark, sf_dir, "part")).selectExpr(
         "p_partkey AS sheet_id",
         f"{SHEET_PATH_SQL} AS source_path",
         f"{SHEET_TEXT_SQL} AS text",
@@ -246,8 +263,8 @@ DEFAULT_CONTEXT_KEY = 5
 
 def context_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content``: a context per supplier folder, per customer, and the default."""
-    suppliers = load(spark, sf_dir, "supplier")
-    customers = spread_if_set(load(spark, sf_dir, "customer"))
+    suppliers = spread_widely(load(spark, sf_dir, "supplier"))
+    customers = spread_widely(load(spark, sf_dir, "customer"))
     content = context_json_sql("s_name", "s_suppkey")
     nearby = suppliers.selectExpr(
         f"{SUPPLIER_CONTEXT_PATH_SQL} AS path", f"{content} AS content"
@@ -294,7 +311,7 @@ MATERIAL_FILE_SQL = "concat('in/', CAST(p_partkey AS STRING), '.json')"
 
 def material_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content, context_path``: a parsed material per part, some defective."""
-    return spread_if_set(load(spark, sf_dir, "part")).selectExpr(
+    return spread_widely(load(spark, sf_dir, "part")).selectExpr(
         f"{MATERIAL_FILE_SQL} AS path",
         f"{MATERIAL_JSON_SQL} AS content",
     )

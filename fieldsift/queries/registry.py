@@ -1116,7 +1116,7 @@ _PAIRED = (
 
 
 def _paired(spark, sf_dir):
-    files = inputs.spread_if_set(inputs.load(spark, sf_dir, "part")).selectExpr(
+    files = inputs.spread_widely(inputs.load(spark, sf_dir, "part")).selectExpr(
         f"{inputs.MATERIAL_FILE_SQL} AS path",
         f"{inputs.MATERIAL_JSON_SQL} AS content",
         f"{_MATERIAL_CONTEXT_SQL} AS context_path",
