@@ -34,6 +34,8 @@ from fieldsift.llm.common import drawn, id_and_text
 
 LEARN_ROWS = 16_000
 PAIRS_A_ROW = 4
+#: Pairs whose differences the driver holds at once, 6 MB.
+PAIRS_A_BLOCK = 4_096
 BINS = 12
 THRESHOLD = 0.7
 _RIDGE = 2.0
@@ -110,22 +112,29 @@ def fit(values: np.ndarray, good: np.ndarray) -> Ranking | None:
         np.unique(np.quantile(values[:, k], np.arange(1, BINS) / BINS))
         for k in range(values.shape[1])
     ]
-    places = [np.searchsorted(b, values[:, k]) for k, b in enumerate(bounds)]
     begins = np.cumsum([0] + [len(b) + 1 for b in bounds])
-    coded = np.zeros((len(values), begins[-1]))
-    for begin, place in zip(begins, places, strict=False):
-        coded[np.arange(len(values)), begin + place] = 1
+    # The column of each feature's bin: a row has a one there and is zero elsewhere.
+    places = np.stack(
+        [begins[k] + np.searchsorted(b, values[:, k]) for k, b in enumerate(bounds)], axis=1
+    )
     better, worse = np.flatnonzero(good), np.flatnonzero(~good)
     pairs = PAIRS_A_ROW * max(len(better), len(worse))
     rng = np.random.Generator(np.random.PCG64(5))
     wins = better[rng.permutation(pairs) % len(better)]
     losses = worse[rng.permutation(pairs) % len(worse)]
-    difference = coded[wins] - coded[losses]
-    weights = np.zeros(coded.shape[1])
+    weights = np.zeros(begins[-1])
     for _ in range(12):
-        chance = 1 / (1 + np.exp(-np.clip(difference @ weights, -30, 30)))
-        gradient = difference.T @ (1 - chance) - _RIDGE * weights
-        curve = (difference * (chance * (1 - chance))[:, None]).T @ difference
+        gradient, curve = np.zeros(len(weights)), np.zeros((len(weights), len(weights)))
+        for begin in range(0, pairs, PAIRS_A_BLOCK):
+            some = slice(begin, begin + PAIRS_A_BLOCK)
+            difference = np.zeros((len(wins[some]), len(weights)))
+            rows = np.arange(len(difference))[:, None]
+            difference[rows, places[wins[some]]] = 1
+            difference[rows, places[losses[some]]] -= 1
+            chance = 1 / (1 + np.exp(-np.clip(difference @ weights, -30, 30)))
+            gradient += difference.T @ (1 - chance)
+            curve += (difference * (chance * (1 - chance))[:, None]).T @ difference
+        gradient -= _RIDGE * weights
         step = np.linalg.solve(curve + _RIDGE * np.eye(len(weights)), gradient)
         weights += step
         if np.abs(step).max() < 1e-4:
@@ -168,12 +177,12 @@ def learned(docs: DataFrame, labels: DataFrame, teaches: Column) -> Ranking | No
         .join(taught, "doc_id")
         .select("doc_id", "text", "good")
         .mapInArrow(run, "good boolean, features array<double>")
-        .collect()
+        .toArrow()
     )
-    if not rows:
+    if not rows.num_rows:
         return None
-    values = np.array([r["features"] for r in rows])
-    good = np.array([r["good"] for r in rows])
+    good = rows.column(0).to_numpy()
+    values = rows.column(1).combine_chunks().flatten().to_numpy().reshape(len(good), -1)
     order = np.lexsort((*values.T, good))  # the same sample gives the same model
     return fit(values[order], good[order])
 

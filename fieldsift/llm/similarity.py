@@ -247,7 +247,9 @@ def _sets(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
             )
 
     rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
-    return stored(rows.mapInArrow(run, SET_SCHEMA), "sets")
+    sets = stored(rows.mapInArrow(run, SET_SCHEMA), "sets")
+    shared.destroy()  # up to 28 MB that the driver and every executor would go on to hold
+    return sets
 
 
 # ---- pairs within index lists
@@ -516,8 +518,8 @@ def _links(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, size: int, perc
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: row, set size and the least doc_id of its group of linked documents."""
     bits = bucket_bits(docs.count(), DOCS_A_BUCKET)
-    order = Order(_counted(docs, size, bits), bits)
-    sets = _sets(docs, order, size, percent)
+    # The driver holds the order no longer than it takes to make the sets.
+    sets = _sets(docs, Order(_counted(docs, size, bits), bits), size, percent)
     firsts = stored(
         sets.where("n > 0")
         .groupBy("sig")
