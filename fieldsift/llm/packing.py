@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -40,7 +40,7 @@ CAPACITY = 1024
 END_ID = 2
 CACHED_WORDS = 500_000
 MOST_TAILS = 10_000
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 ROWS_A_SLICE = 200_000
 
 PIECE_SCHEMA = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -185,16 +185,18 @@ def word_tokens(path: str) -> WordTokens:
     return _loaded[path]
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in runs of about BLOCK_CHARS."""
-    begin, held = 0, 0
-    for k, text in enumerate(texts):
+def _blocks(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in runs of about BLOCK_CHARS; no more of them are held at once."""
+    block: list[str] = []
+    held = 0
+    for text in texts:
+        block.append(text)
         held += len(text)
         if held >= BLOCK_CHARS:
-            yield texts[begin : k + 1]
-            begin, held = k + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -216,7 +218,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         )
         for batch in batches:
             rows = []
-            texts = [t.as_py() or "" for t in batch.column(1)]
+            texts = (t.as_py() or "" for t in batch.column(1))
             ids = (i for block in _blocks(texts) for i in tokens.ids(block))
             for doc_id, row, own in zip(batch.column(0), batch.column(2), ids, strict=True):
                 own += end

@@ -1,11 +1,11 @@
-"""What the driver holds while it learns and while it sends tables to the tasks."""
+"""What the driver holds while it learns and sends tables to the tasks, and packing in a task."""
 
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldsift.llm import quality, similarity
+from fieldsift.llm import packing, quality, similarity
 
 
 def _rows(n):
@@ -73,3 +73,13 @@ def test_the_order_of_shingles_is_given_up_once_sets_are_made(spark, monkeypatch
     assert len(gone) == 1
     kept = got.where(F.col("doc_id") % 2 == 1).where("component_id < doc_id")
     assert got.count() == 8 and kept.count() == 4
+
+
+def test_packing_holds_one_block_of_texts():
+    taken = []
+    texts = ("x" * (packing.BLOCK_CHARS // 3) for k in range(20) if taken.append(k) is None)
+    sizes = []
+    for block in packing._blocks(texts):
+        sizes.append(len(block))
+        assert len(taken) == sum(sizes)
+    assert sum(sizes) == 20 and max(sizes) == 4
